@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.encode import encode
 from lorekeep.llm.leak import leaks
+from lorekeep.llm.neardup import similar_pairs
 from lorekeep.llm.quality import quality
 from lorekeep.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "episodes"), "id", ["summary", "full_content"], 3, 5, shingle=3, least_words=10)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.llm.conversations import ISO, conversations
 from lorekeep.llm.encode import encode
 from lorekeep.llm.leak import leaks
 from lorekeep.llm.neardup import similar_pairs
@@ -12,6 +13,15 @@ from lorekeep.llm.quality import quality
 from lorekeep.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "transcript_entries")).select("session_id", "turn", "entry_id")
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept conversations with speakers, times (microseconds) and texts."""
+    return conversations(table(spark, sf_dir, "transcript_entries"), with_text=True)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "episodes"), "id", ["summary", "full_content"], 3, 5, shingle=3, least_words=10)
 
@@ -48,7 +58,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p4_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 
@@ -68,4 +78,21 @@ c AS (SELECT doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: len
 SELECT doc_id FROM c WHERE CAST(n_symbols * 100 > n_chars * 15 AS INTEGER) + CAST(n_punctuated * 10 < n_lines * 4 AS INTEGER)
   + CAST(n_common * 10 < n_words * 2 AS INTEGER) + CAST(n_chars < n_words * 3 OR n_chars > n_words * 9 AS INTEGER) >= 2"""
 
-SQL: dict[str, str] = {"p7_found": _P7, "p8_found": _P8}
+def _p3(columns: str) -> str:
+    blanks = "' ' || chr(9) || chr(10) || chr(13)"
+    return rf"""WITH a AS (SELECT *, coalesce(type, role) AS s, content LIKE '[{{%' AS arr,
+  CASE WHEN regexp_matches(msg_timestamp, '{ISO}') THEN epoch_us(TRY_CAST(msg_timestamp AS TIMESTAMPTZ)) END AS t FROM transcript_entries WHERE session_id IS NOT NULL),
+b AS (SELECT *, s IN ('user', 'assistant') AS spoken, last_value(t IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_us,
+  CASE WHEN NOT arr THEN trim(content, {blanks}) WHEN json_valid(content) THEN trim(array_to_string(list_filter(list_transform(
+    list_filter(CAST(content AS JSON[]), lambda x: json_extract_string(x, '$.type') = 'text'), lambda x: json_extract_string(x, '$.text')), lambda x: x <> ''), chr(10)), {blanks}) END AS txt FROM a),
+g AS (SELECT session_id FROM b GROUP BY 1 HAVING count(*) = count(DISTINCT line_no) AND min(line_no) = 1 AND max(line_no) = count(*)
+  AND count(*) FILTER (spoken AND arr AND NOT json_valid(content)) = 0),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, uuid, CASE WHEN uuid IS NULL THEN s END, CASE WHEN uuid IS NULL THEN txt END, CASE WHEN uuid IS NULL THEN at_us END ORDER BY line_no) AS k
+  FROM b WHERE spoken AND txt <> '' AND session_id IN (SELECT session_id FROM g)) WHERE k = 1),
+o AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS turn, lag(s) OVER w AS p, lead(s) OVER w AS f, count(*) OVER (PARTITION BY session_id) AS n
+  FROM m WINDOW w AS (PARTITION BY session_id ORDER BY at_us NULLS FIRST, line_no)),
+bad AS (SELECT DISTINCT session_id FROM o WHERE n < 2 OR (p IS NULL AND s <> 'user') OR (f IS NULL AND s <> 'assistant') OR (p = 'user' AND s = 'user'))
+SELECT {columns} FROM o WHERE session_id NOT IN (SELECT session_id FROM bad)"""
+
+
+SQL: dict[str, str] = {"p3_found": _p3("session_id, turn, entry_id"), "p3_turns": _p3("session_id, turn, entry_id, s AS speaker, at_us, txt AS text"), "p7_found": _P7, "p8_found": _P8}

@@ -29,8 +29,10 @@ from lorekeep.session import durable, written
 SHINGLE, LEAST_WORDS = 3, 10
 BUCKETS = 1 << 20
 HOT = 20_000
-#: 64-bit words of a parity bitmap.
-BITMAP = 3
+#: Parity bitmaps have two bits for each shingle at least, in a power of two from 128 to 128 << LARGEST.
+LARGEST = 6
+#: Postings that one task of the join gets, about.
+POSTINGS = 6_000_000
 #: Bits of the filter that keeps the texts of candidates in the last pass (fixed size, whatever the corpus).
 KEPT_BITS = 1 << 24
 #: Groups of equal texts up to this size come out as all pairs, larger ones as pairs with the smallest id.
@@ -105,8 +107,13 @@ def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarra
     return -(-(num * (a + b)) // (num + den))
 
 
+def grade(size: np.ndarray) -> np.ndarray:
+    """Bitmaps of grade g have 128 << g bits."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / 64)), 0, LARGEST).astype(np.int64)
+
+
 def _postings(s: Sets, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(record, token, position) of the prefixes, rarest first, and the bitmaps of all records of ``s``."""
+    """(record, token, position) of the prefixes, rarest first, and the bitmaps of all records of ``s`` one after the other."""
     count = np.minimum(counts[(s.mixed & np.uint64(BUCKETS - 1)).astype(np.int64)], BUCKETS - 1).astype(np.uint64)
     record = np.repeat(np.arange(len(s.texts)), s.size)
     token = (count << np.uint64(24)) | (s.mixed >> np.uint64(40))
@@ -114,12 +121,55 @@ def _postings(s: Sets, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarr
     position = np.arange(len(order)) - np.repeat(s.begin, s.size)
     size = s.size[record]
     keep = position < size + (-(num * size) // den) + 1
-    bit = ((s.mixed >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64)
-    odd = np.bincount(record * 64 * BITMAP + bit, minlength=len(s.texts) * 64 * BITMAP) & 1
-    bitmaps = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(s.texts), BITMAP)
+    bits = 128 << grade(s.size)
+    base = np.cumsum(bits) - bits
+    bit = ((s.mixed >> np.uint64(20)).astype(np.int64) & (bits - 1)[record]) + base[record]
+    odd = np.bincount(bit, minlength=int(bits.sum())) & 1
+    bitmaps = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
     return record[keep], order[keep] & np.uint64((1 << 44) - 1), position[keep], bitmaps
 
 
+def _take_bitmaps(flat: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The bitmaps of ``rows``, from those of records of the given sizes."""
+    n = 2 << grade(size)
+    begin = np.cumsum(n) - n
+    m = n[rows]
+    return flat[np.repeat(begin[rows] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+
+
+class Bitmaps:
+    """Parity bitmaps of each grade; those of larger sets are folded, so that any two sets can be compared at the smaller grade."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.grade = grade(size)
+        n = 2 << self.grade
+        begin = np.cumsum(n) - n
+        self.rows: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        above = None
+        for g in range(int(self.grade.max(initial=0)), -1, -1):
+            own = np.flatnonzero(self.grade == g)
+            m = flat[begin[own][:, None] + np.arange(2 << g)]
+            index = own
+            if above is not None:
+                half = 2 << g
+                m = np.concatenate([m, self.rows[g + 1][:, :half] ^ self.rows[g + 1][:, half:]])
+                index = np.concatenate([own, above])
+            self.rows[g], above = m, index
+            self.place[g] = np.zeros(len(size), np.int32)
+            self.place[g][index] = np.arange(len(index))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of shingles that only one of two sets holds."""
+        out = np.zeros(len(a), np.int64)
+        both = np.minimum(self.grade[a], self.grade[b])
+        for g in self.rows:
+            at = np.flatnonzero(both == g)
+            x, y = self.place[g][a[at]], self.place[g][b[at]]
+            out[at] = np.bitwise_count(self.rows[g][x] ^ self.rows[g][y]).sum(1)
+        return out
+
+
 def _split_hot(record: np.ndarray, token: np.ndarray, position: np.ndarray, key: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings of tokens with more than ``hot`` texts, once for each pair of blocks that the text's block is in."""
     n = -(-(token >> np.uint64(24)).astype(np.int64) // hot)
@@ -139,11 +189,12 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
 
 
-#: key, size and bitmaps of the records; record, token and position of the postings
-_KINDS = (np.int64, np.int32, np.uint64, np.int32, np.uint64, np.int32)
+#: key, size, number of postings and bitmaps of the records; token and position of the postings, by record
+_KINDS = (np.int64, np.int32, np.int32, np.uint64, np.uint32, np.uint16)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
+    """The packed arrays; tokens are 32-bit hashes (equal ones of different shingles only add candidates), positions end at 65,535 (a smaller one only weakens its filter)."""
     lengths = np.frombuffer(blob, np.int64, len(_KINDS))
     out, at = [], 8 * len(_KINDS)
     for n, kind in zip(lengths, _KINDS):
@@ -155,7 +206,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.ndarray, token: np.ndarray, position: np.ndarray, num: int, den: int, step: int = 1 << 21) -> np.ndarray:
     """Keys of the pairs of records that share a token and pass the filters, each pair once, as rows (smaller, larger)."""
     key, first, same = np.unique(key, return_index=True, return_inverse=True)
-    size, bitmap, record = size[first].astype(np.int64), bitmap[first], same[record]
+    bitmaps = Bitmaps(_take_bitmaps(bitmap, size, first), size[first])
+    size, record = size[first].astype(np.int64), same[record]
     _, token = np.unique(token, return_inverse=True)
     order = np.lexsort((record, size[record], token))
     record, token, position = record[order], token[order], position[order].astype(np.int64)
@@ -179,10 +231,7 @@ def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.n
         total = size_at[a] + size_at[b]
         ok = np.minimum(left[a], left[b]) * (num + den) >= num * total
         a, b, total = record[a[ok]], record[b[ok]], total[ok]
-        apart = np.zeros(len(a), np.int64)
-        for k in range(bitmap.shape[1]):
-            apart += np.bitwise_count(bitmap[a, k] ^ bitmap[b, k])
-        ok = apart <= total - 2 * -(-(num * total) // (num + den))
+        ok = bitmaps.apart(a, b) <= total - 2 * -(-(num * total) // (num + den))
         if ok.any():
             a, b = key[a[ok]], key[b[ok]]
             out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
@@ -193,7 +242,8 @@ def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, le
     """(``a``, ``b``): keys of record pairs that pass the filters; a pair can come more than once."""
     spark = df.sparkSession
     counts = spark.sparkContext.broadcast(_counts(df, columns, shingle, least_words))
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    share = 1 - num / den
+    parts = max(8, int(counts.value.sum(dtype=np.int64) * share) // POSTINGS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -205,16 +255,17 @@ def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, le
             # equal sets of this task are one record
             _, first, same = np.unique(key, return_index=True, return_inverse=True)
             own = first[same[record]] == record
-            record, token, position = record[own], token[own], position[own]
-            record, token, position = _split_hot(record, token, position, key, hot)
-            part = ((token * _MIX) >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            record, token, position = _split_hot(record[own], token[own], position[own], key, hot)
+            mixed = token * _MIX
+            part = (mixed >> np.uint64(33)) % np.uint64(parts)
+            order = np.lexsort((record, part))
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             blobs = []
             for p in range(parts):
                 rows = order[edge[p] : edge[p + 1]]
-                used, index = np.unique(record[rows], return_inverse=True)
-                arrays = [key[used], size[used], bitmap[used].ravel(), index, token[rows], position[rows]]
+                used, n = np.unique(record[rows], return_counts=True)
+                short = ((token[rows] ^ (mixed[rows] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+                arrays = [key[used], size[used], n, _take_bitmaps(bitmap, size, used), short, np.minimum(position[rows], 65535)]
                 blobs.append(_pack([np.asarray(a, kind) for a, kind in zip(arrays, _KINDS)]))
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
@@ -231,10 +282,8 @@ def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, le
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [_unpack(x) for x in pdf["blob"]]
-        base = np.cumsum([0, *[len(x[0]) for x in blobs[:-1]]])
-        key, size, bitmap, record, token, position = (np.concatenate([x[k] + (b if k == 3 else 0) for x, b in zip(blobs, base)]) for k in range(6))
-        found = pairs_of(key, size, bitmap.reshape(-1, BITMAP), record, token, position, num, den)
+        key, size, n, bitmap, token, position = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
+        found = pairs_of(key, size, bitmap, np.repeat(np.arange(len(key)), n), token, position, num, den)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return df.mapInArrow(emit, "part int, blob binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")

@@ -32,7 +32,7 @@ HOT = 20_000
 #: Parity bitmaps have two bits for each shingle at least, in a power of two from 128 to 128 << LARGEST.
 LARGEST = 6
 #: Postings that one task of the join gets, about.
-POSTINGS = 6_000_000
+POSTINGS = 1_500_000
 #: Bits of the filter that keeps the texts of candidates in the last pass (fixed size, whatever the corpus).
 KEPT_BITS = 1 << 24
 #: Groups of equal texts up to this size come out as all pairs, larger ones as pairs with the smallest id.
@@ -203,7 +203,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.ndarray, token: np.ndarray, position: np.ndarray, num: int, den: int, step: int = 1 << 21) -> np.ndarray:
+def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.ndarray, token: np.ndarray, position: np.ndarray, num: int, den: int, step: int = 1 << 20) -> np.ndarray:
     """Keys of the pairs of records that share a token and pass the filters, each pair once, as rows (smaller, larger)."""
     key, first, same = np.unique(key, return_index=True, return_inverse=True)
     bitmaps = Bitmaps(_take_bitmaps(bitmap, size, first), size[first])

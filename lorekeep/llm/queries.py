@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.llm.clusters import similarity_clusters
 from lorekeep.llm.conversations import ISO, conversations
 from lorekeep.llm.encode import encode
 from lorekeep.llm.leak import leaks
 from lorekeep.llm.neardup import similar_pairs
+from lorekeep.llm.neighbours import most_similar
 from lorekeep.llm.quality import quality
 from lorekeep.sources.tables import table
 
 
+#: Width of the vectors in use.
+DIM = 128
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar rows of every row, of cosine 0.93 or more."""
+    out = None
+    for name in ("episodes", "chunks"):
+        t = most_similar(table(spark, sf_dir, name), "id", "embedding", DIM, 5, 0.93).select(F.lit(name).alias("table_name"), "id", "neighbour", "cosine", "rank")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_neighbours(spark, sf_dir).select("table_name", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "transcript_entries")).select("session_id", "turn", "entry_id")
 
@@ -26,6 +45,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "episodes"), "id", ["summary", "full_content"], 3, 5, shingle=3, least_words=10)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_clusters(table(spark, sf_dir, "episodes"), "id", "embedding", DIM, 0.75).select("cluster_id", F.col("id").alias("episode_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -58,7 +81,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p4_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p5_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 

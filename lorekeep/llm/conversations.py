@@ -19,16 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.functions.jsonl import SPEAKERS, is_array, micros, text, valid_json
 from lorekeep.session import durable, written
-from lorekeep.sources.tables import trim_blanks
 
 BLOCK = 4096
-#: ISO 8601 with a zone
-ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
 def topological_order(parents: list[int], keys: list[tuple]) -> tuple[list[int], list[int]]:
@@ -51,27 +49,13 @@ def topological_order(parents: list[int], keys: list[tuple]) -> tuple[list[int],
     return order, [i for i in range(len(parents)) if i not in seen]
 
 
-def _valid_json(c: Column) -> Column:
-    # wrapped in an array and in an object, so that anything after the array's end is an error in one of the two
-    both = [F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull() for a, b in (("[", ",0]"), ('{"a":', "}"))]
-    return both[0] & both[1]
-
-
-def _text(c: Column) -> Column:
-    """The text of a content: a JSON array's non-empty texts of blocks of type ``text``, else the content itself, trimmed."""
-    blocks = F.transform(F.from_json(c, "array<string>"), lambda x: F.from_json(x, "type string, text string"))
-    texts = F.transform(F.filter(blocks, lambda x: (x["type"] == "text") & (F.length(x["text"]) > 0)), lambda x: x["text"])
-    return trim_blanks(F.when(c.startswith("[{"), F.array_join(texts, "\n")).otherwise(c))
-
-
 def _lines(df: DataFrame) -> DataFrame:
     speaker = F.coalesce("type", "role")
-    spoken = speaker.isin("user", "assistant")
-    array = F.col("content").startswith("[{")
-    time = F.when(F.col("msg_timestamp").rlike(ISO), F.unix_micros(F.expr("try_cast(msg_timestamp AS timestamp)")))
+    spoken = speaker.isin(SPEAKERS)
+    content = F.col("content")
     return df.where(F.col("session_id").isNotNull()).select(
-        "session_id", "line_no", "entry_id", "uuid", F.when(spoken, speaker).alias("speaker"), time.alias("time"),
-        F.coalesce(spoken & array & ~_valid_json(F.col("content")), F.lit(False)).alias("cut_off"), F.when(spoken, _text(F.col("content"))).alias("text"),
+        "session_id", "line_no", "entry_id", "uuid", F.when(spoken, speaker).alias("speaker"), micros(F.col("msg_timestamp")).alias("time"),
+        F.coalesce(spoken & is_array(content) & ~valid_json(content), F.lit(False)).alias("cut_off"), F.when(spoken, text(content)).alias("text"),
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions.jsonl import ISO
 from lorekeep.llm.clusters import similarity_clusters
-from lorekeep.llm.conversations import ISO, conversations
+from lorekeep.llm.conversations import conversations
 from lorekeep.llm.encode import encode
 from lorekeep.llm.leak import leaks
 from lorekeep.llm.neardup import similar_pairs

@@ -9,13 +9,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import decay, evergreen, word_set
 from lorekeep.functions.vectors import cosine
 from lorekeep.operators import bm25
 
-BY_QUERY = W.partitionBy("query_id")
+
+def by_query() -> WindowSpec:
+    return W.partitionBy("query_id")
 
 
 def in_family(path: Column, family: Column) -> Column:
@@ -25,12 +28,12 @@ def in_family(path: Column, family: Column) -> Column:
 
 def normalised(score: Column, equal: float) -> Column:
     """Scores of a question's candidates mapped so that the best is 1 and the worst 0; ``equal`` if they don't differ, null for null."""
-    low, high = F.min(score).over(BY_QUERY), F.max(score).over(BY_QUERY)
+    low, high = F.min(score).over(by_query()), F.max(score).over(by_query())
     return F.when(score.isNotNull(), F.when(low == high, F.lit(equal)).otherwise((score - high) / (low - high)))
 
 
 def ranked(df: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataFrame:
-    place = F.row_number().over(BY_QUERY.orderBy(F.col(score).desc(), F.col(tie)))
+    place = F.row_number().over(by_query().orderBy(F.col(score).desc(), F.col(tie)))
     return df.withColumn("rank", place).where(F.col("rank") <= k)
 
 
@@ -76,7 +79,7 @@ def diversified(results: DataFrame, limit: int = 10, balance: float = 0.7) -> Da
             for j, (_, _, w) in enumerate(left):
                 both = len(w & taken[2])
                 near[j] = max(near[j], 1.0 if not w and not taken[2] else both / (len(w) + len(taken[2]) - both))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "id": [c[0] for c in chosen], "score": [c[1] for c in chosen], "rank": range(1, len(chosen) + 1)})
+        return pd.DataFrame({"query_id": pd.Series([pdf["query_id"].iloc[0]] * len(chosen), dtype=object), "id": pd.Series([c[0] for c in chosen], dtype=object), "score": [c[1] for c in chosen], "rank": range(1, len(chosen) + 1)})
 
     narrow = results.where(F.col("rank") <= 150).select("query_id", "id", "score", "rank", word_set(F.col("text")).alias("words"))
     return narrow.groupBy("query_id").applyInPandas(choose, "query_id string, id string, score double, rank int")
@@ -95,7 +98,7 @@ def recall(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, now: in
     c = c.where((F.col("scope") == "global") | in_family(F.col("project_path"), F.col("family")))
     relevance = 0.7 * cosine(F.col("embedding"), F.col("asked")) + 0.3 * F.coalesce(F.col("lexical"), F.lit(0.0))
     relevance = F.when(F.col("importance") == "high", F.greatest(relevance, F.lit(0.3))).otherwise(relevance)
-    used = (F.col("access_count") + 1) / (F.greatest(F.max("access_count").over(BY_QUERY), F.lit(1)) + 1)
+    used = (F.col("access_count") + 1) / (F.greatest(F.max("access_count").over(by_query()), F.lit(1)) + 1)
     c = c.withColumn("lexical", normalised(F.col("bm25"), 0.5))
     return ranked(c.select("query_id", "id", F.round(0.5 * relevance + 0.3 * decay(F.col("created_at"), now) + 0.2 * used, 9).alias("score")), limit)
 
@@ -106,13 +109,13 @@ def fused(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, pool: in
     Candidates are the ``pool`` episodes read last that have a vector, and the first ``hits`` lexical hits (by id) beside
     them. Equal values share a rank and the next is skipped. The similarity bound is applied after the cut to ``limit``.
     """
-    lexical = bm25.scores(questions, tokens).withColumn("place", F.row_number().over(BY_QUERY.orderBy("doc_id"))).where(F.col("place") <= hits).select("query_id", F.col("doc_id").alias("id"), "bm25")
+    lexical = bm25.scores(questions, tokens).withColumn("place", F.row_number().over(by_query().orderBy("doc_id"))).where(F.col("place") <= hits).select("query_id", F.col("doc_id").alias("id"), "bm25")
     latest = episodes.where("embedding IS NOT NULL").orderBy(F.col("accessed_at").desc(), "id").limit(pool).select("id")
     pairs = questions.select("query_id").crossJoin(F.broadcast(latest)).withColumn("bm25", F.lit(None).cast("double"))
     both = lexical.unionByName(pairs).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
     c = both.join(episodes.where("embedding IS NOT NULL"), "id").join(F.broadcast(questions.select("query_id", F.col("embedding").alias("asked"))), "query_id")
     c = c.select("query_id", "id", "bm25", "importance", "created_at", "access_count", cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
-    rank = lambda *o: F.rank().over(BY_QUERY.orderBy(*o))
+    rank = lambda *o: F.rank().over(by_query().orderBy(*o))
     c = c.withColumns({
         "r_lexical": F.when(F.col("bm25").isNotNull(), rank(F.col("bm25").asc_nulls_last())),
         "r_vector": rank(F.col("similarity").desc()),

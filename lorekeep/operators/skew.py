@@ -77,7 +77,7 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], n: int, salts: int
     """The first ``n`` rows of each key by ``order`` (which must be total), numbered in ``rank``.
 
     Heavy keys are first cut to ``n`` rows within each salt, then to ``n`` rows over the salts, so that no task sorts a
-    whole heavy key. Null keys form no group.
+    whole heavy key. Null keys form no group; a column ``rank`` of the input is replaced.
     """
     from pyspark.sql import Window as W
 
@@ -98,7 +98,9 @@ def join_on_key(left: DataFrame, right: DataFrame, key: str, how: str = "left",
 
     The rows of ``right`` that have a heavy key are counted: up to ``broadcast_rows`` they are broadcast, beyond that
     they are copied to every salt and shuffled. All other keys take an ordinary shuffled join. Null keys match nothing.
+    Columns of ``right`` that ``left`` also has come out with the suffix ``_right``.
     """
+    right = right.withColumnsRenamed({c: f"{c}_right" for c in right.columns if c != key and c in left.columns})
     heavy, rest = _split(left, key, share)
     out = rest.join(right, key, how)
     if heavy is None:

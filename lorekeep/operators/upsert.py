@@ -70,7 +70,8 @@ def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int =
                     s, name = sims[at.index(i), k], names[order[k]]
                     if i not in best or (-s, name) < (-best[i][0], best[i][1]):
                         best[i] = (float(s), str(name))
-        yield pd.DataFrame({"id": [ids[i] for i in best], "match": [b[1] for b in best.values()], "similarity": [b[0] for b in best.values()]})
+        text = lambda values: pd.Series(values, dtype=object)
+        yield pd.DataFrame({"id": text([ids[i] for i in best]), "match": text([b[1] for b in best.values()]), "similarity": pd.Series([b[0] for b in best.values()], dtype="float64")})
 
     found = store.select("id", "scope", "project", "embedding").mapInPandas(run, "id string, match string, similarity double")
     top = found.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))

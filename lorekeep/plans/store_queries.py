@@ -13,8 +13,6 @@ from lorekeep.plans.common import C, E, NOW, chunks, episodes
 from lorekeep.sources.tables import one_per_id, table, trim_blanks
 from lorekeep.streaming import sessions
 
-ONE = F.lit(1)
-
 
 # counts and votes
 
@@ -23,7 +21,7 @@ def agg_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, ids and vectors of episodes and chunks."""
     out = None
     for name in ("episodes", "chunks"):
-        t = table(spark, sf_dir, name).agg(F.count(ONE).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count("embedding").alias("n_vectors"), F.count_distinct("project_path").alias("n_paths"))
+        t = table(spark, sf_dir, name).agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count("embedding").alias("n_vectors"), F.count_distinct("project_path").alias("n_paths"))
         t = t.select(F.lit(name).alias("table_name"), "n_rows", "n_ids", "n_vectors", "n_paths")
         out = t if out is None else out.unionByName(t)
     return out
@@ -31,17 +29,17 @@ def agg_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped by the project as it is spelled, labelled afterwards."""
-    e = episodes(spark, sf_dir, "project").groupBy("project").agg(F.count(ONE).alias("n"))
+    e = episodes(spark, sf_dir, "project").groupBy("project").agg(F.count("*").alias("n"))
     return e.select(F.coalesce("project", F.lit("(global)")).alias("project"), "n")
 
 
 def agg_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes(spark, sf_dir, "project", "scope", "importance").groupBy("project", "scope", "importance").agg(F.count(ONE).alias("n"))
+    return episodes(spark, sf_dir, "project", "scope", "importance").groupBy("project", "scope", "importance").agg(F.count("*").alias("n"))
 
 
 def agg_sessions_per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = episodes(spark, sf_dir, "project_path", "session_id")
-    return e.groupBy("project_path").agg(F.count_distinct("session_id").alias("n_sessions"), F.count(ONE).alias("n_episodes"))
+    return e.groupBy("project_path").agg(F.count_distinct("session_id").alias("n_sessions"), F.count("*").alias("n_episodes"))
 
 
 def agg_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ def _entities(c: Column) -> Column:
 def agg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many episodes name each entity; a list that is cut off names none."""
     e = episodes(spark, sf_dir, "entities").select("id", F.explode(F.array_distinct(_entities(F.col("entities")))).alias("entity"))
-    return e.groupBy("entity").agg(F.count(ONE).alias("n_episodes"))
+    return e.groupBy("entity").agg(F.count("*").alias("n_episodes"))
 
 
 def agg_session_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +83,7 @@ def agg_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.select("id", _topic(F.col("summary")).alias("old"), _topic(F.col("full_content")).alias("new")).where("old <> new")
     place = F.row_number().over(W.partitionBy("old", "new").orderBy("id"))
     first = e.withColumn("k", place).where("k <= 3").groupBy("old", "new").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("examples"))
-    return e.groupBy("old", "new").agg(F.count(ONE).alias("n")).join(first, ["old", "new"])
+    return e.groupBy("old", "new").agg(F.count("*").alias("n")).join(first, ["old", "new"])
 
 
 def agg_unembedded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +109,7 @@ def tx_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tx_tool_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The absolute paths that each session's tool calls name, with how many lines name them."""
     t = table(spark, sf_dir, "transcript_entries").select("session_id", F.explode(jsonl.tool_paths(F.col("content"))).alias("path"))
-    return t.groupBy("session_id", "path").agg(F.count(ONE).alias("n"))
+    return t.groupBy("session_id", "path").agg(F.count("*").alias("n"))
 
 
 def tx_text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +153,7 @@ def tx_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tx_messages(spark, sf_dir)
     m = windows.within_budget(m, "session_id", [F.col("line_no").desc(), F.col("entry_id").desc()], F.length("text"), 6000)
     line = F.struct("line_no", "entry_id", F.concat("speaker", F.lit(": "), "text").alias("t"))
-    tail = m.groupBy("session_id").agg(F.count(ONE).alias("n"), F.sort_array(F.collect_list(line)).alias("l"))
+    tail = m.groupBy("session_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(line)).alias("l"))
     return tail.select("session_id", "n", F.substring(F.array_join(F.transform("l", lambda x: x["t"]), "\n"), 1, 6000).alias("tail"))
 
 
@@ -182,7 +180,7 @@ def tx_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     line = F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("string"), F.lit(" "), "props")
     e = ev.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", line.alias("line"), F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return e.groupBy("day").agg(F.count(ONE).alias("n"), F.count_if(F.col("line").contains("error")).alias("n_errors"), F.count_if(F.col("line").rlike(r"\b42\b")).alias("n_code"), F.max("k").alias("max_k"))
+    return e.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("line").contains("error")).alias("n_errors"), F.count_if(F.col("line").rlike(r"\b42\b")).alias("n_code"), F.max("k").alias("max_k"))
 
 
 # changes
@@ -199,7 +197,7 @@ def up_replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir, "path", "text").select("path", "id", F.length("text").alias("n"))
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     new = d.select(F.regexp_replace("path", r"[^/]+$", "MEMORY.md").alias("path"), F.concat(F.lit("doc_"), "doc_id").alias("id"), F.length("text").alias("n"))
-    return upsert.replaced(c, new, "path").groupBy("path").agg(F.count(ONE).alias("n_chunks"), F.sum("n").alias("n_chars"))
+    return upsert.replaced(c, new, "path").groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_chars"))
 
 
 def up_merged_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +225,7 @@ def up_vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents' texts have a chunk of the same hash, so that no vector must be computed."""
     cache = chunks(spark, sf_dir, "text", "embedding").where("embedding IS NOT NULL").select(F.sha2("text", 256).alias("hash")).distinct().withColumn("hit", F.lit(True))
     e = episodes(spark, sf_dir, "summary", "full_content").select("id", F.explode(F.array("summary", "full_content")).alias("text")).where("text IS NOT NULL").select("id", F.sha2("text", 256).alias("hash"))
-    return e.join(cache, "hash", "left").groupBy(F.coalesce("hit", F.lit(False)).alias("hit")).agg(F.count(ONE).alias("n"), F.count_distinct("hash").alias("n_texts"))
+    return e.join(cache, "hash", "left").groupBy(F.coalesce("hit", F.lit(False)).alias("hit")).agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_texts"))
 
 
 # consolidation
@@ -245,7 +243,7 @@ def co_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that can go, by project: of episodes older than 30 days that were never read and aren't important."""
     e = episodes(spark, sf_dir, "project_path", "importance", "access_count", "full_content", "created_at")
     gone = (F.col("created_at") < NOW - 30 * DAY_MS) & (F.col("access_count") <= 0) & (F.col("importance") == "normal") & F.col("full_content").isNotNull()
-    return e.groupBy("project_path").agg(F.count(ONE).alias("n"), F.count_if(gone).alias("n_gone"), F.sum(F.when(gone, F.length("full_content")).otherwise(0)).alias("n_chars"))
+    return e.groupBy("project_path").agg(F.count("*").alias("n"), F.count_if(gone).alias("n_gone"), F.sum(F.when(gone, F.length("full_content")).otherwise(0)).alias("n_chars"))
 
 
 def co_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,12 +261,12 @@ def co_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     stability = F.least(F.lit(365.0), F.lit(7.0) * (1 + 0.1 * F.log1p(F.col("access_count").cast("double"))))
     strength = F.when(F.col("accessed_at").isNull() | (F.col("accessed_at") == 0), F.lit(0.5)).otherwise(F.exp(-hours / (stability * 24)))
     high = F.sum((F.col("importance") == "high").cast("bigint"))
-    return e.groupBy("project_path").agg(F.round(F.avg(strength), 9).alias("strength"), F.round((high + 1) / (F.count(ONE) + 2), 9).alias("rate"), F.count(ONE).alias("n"))
+    return e.groupBy("project_path").agg(F.round(F.avg(strength), 9).alias("strength"), F.round((high + 1) / (F.count("*") + 2), 9).alias("rate"), F.count("*").alias("n"))
 
 
 def co_evergreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir, "path", "text")
-    return c.groupBy(evergreen(F.col("path")).alias("evergreen")).agg(F.count(ONE).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return c.groupBy(evergreen(F.col("path")).alias("evergreen")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 # streams

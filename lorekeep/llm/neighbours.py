@@ -19,9 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.operators.skew import top_per_key
+from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
 SAMPLE = 32_768
@@ -187,7 +188,7 @@ def _meet(index: Index, dim: int, k: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
         key, scalars, codes, qkey, qscalars, small = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
-        scalars, codes, qscalars, small = scalars.reshape(-1, 3), codes.reshape(len(key), -1), qscalars.reshape(-1, 2), small.reshape(-1, dim)
+        scalars, codes, qscalars, small = scalars.reshape(-1, 3), codes.reshape(len(key), (dim + 7) // 8), qscalars.reshape(-1, 2), small.reshape(-1, dim)
         key, first = np.unique(key, return_index=True)
         scalars = scalars[first]
         signs = np.unpackbits(codes[first], axis=1, count=dim).astype(np.float32) * 2 - 1
@@ -277,11 +278,19 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, lea
     pairs = durable(cells.groupBy("cell", "block").applyInPandas(_meet(index, dim, k, least), "a bigint, b bigint").distinct())
     m = members_and_vectors(rows, "__id", "__vec", dim, pairs)
     near = exact_cosines(pairs, m).where(F.col("cosine") >= least)
-    near = near.select("a", "b", "cosine").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    near = top_per_key(near, "a", [F.col("cosine").desc(), F.col("b")], k).drop("rank")
-    # of equal vectors only the k + 1 smallest ids can be anyone's neighbours
+    near = durable(near.select("a", "b", "cosine").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")))
+    near = _first(near, "a", [F.col("cosine").desc(), F.col("b")], k)
     ids = m.select("key", "id").distinct()
-    first = top_per_key(ids, "key", [F.col("id")], k + 1).drop("rank")
-    own = ids.join(first.select("key", F.col("id").alias("neighbour")), "key").where(F.col("id") != F.col("neighbour")).select("id", "neighbour", F.lit(1.0).alias("cosine"))
-    other = ids.join(near.withColumnRenamed("a", "key"), "key").join(first.select(F.col("key").alias("b"), F.col("id").alias("neighbour")), "b").select("id", "neighbour", "cosine")
-    return top_per_key(own.unionByName(other), "id", [F.col("cosine").desc(), F.col("neighbour")], k)
+    # of equal vectors only the k + 1 smallest ids can be anyone's neighbours, so a key's candidates are few
+    first = _first(ids, "key", [F.col("id")], k + 1).select("key", F.col("id").alias("neighbour"))
+    other = near.join(first.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), "neighbour", "cosine")
+    both = other.unionByName(first.select("key", "neighbour", F.lit(1.0).alias("cosine")))
+    lists = durable(both.groupBy("key").agg(F.collect_list(F.struct("cosine", "neighbour")).alias("all")))
+    each = join_on_key(ids, lists, "key", "inner").select("id", F.explode("all").alias("n")).select("id", "n.neighbour", "n.cosine")
+    return _first(each.where(F.col("id") != F.col("neighbour")), "id", [F.col("cosine").desc(), F.col("neighbour")], k, "rank")
+
+
+def _first(df: DataFrame, key: str, order: list, k: int, place: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key; Spark cuts each key to k rows in every task before the shuffle."""
+    df = df.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__k") <= k)
+    return df.withColumnRenamed("__k", place) if place else df.drop("__k")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions import jsonl
-from lorekeep.functions.text import DAY_MS, basename, evergreen
+from lorekeep.functions.text import DAY_MS, basename, evergreen, tokens
 from lorekeep.operators import upsert, windows
 from lorekeep.plans.common import C, E, NOW, chunks, episodes
 from lorekeep.sources.tables import one_per_id, table, trim_blanks
@@ -157,6 +157,14 @@ def tx_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.select("session_id", "n", F.substring(F.array_join(F.transform("l", lambda x: x["t"]), "\n"), 1, 6000).alias("tail"))
 
 
+def tx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fits into 2,000 tokens of context for each project: its newest chunks, whole, until the budget is used up."""
+    n = F.size(tokens(F.col("text")))
+    c = chunks(spark, sf_dir, "project_path", "text", "updated_at").where("project_path IS NOT NULL").select("project_path", "id", "updated_at", n.alias("n_tokens"))
+    c = windows.within_budget(c, "project_path", [F.col("updated_at").desc(), F.col("id")], F.col("n_tokens"), 2000)
+    return c.groupBy("project_path").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.min("updated_at").alias("oldest"))
+
+
 def tx_day_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown file for each project and day of its important episodes, by time."""
     e = episodes(spark, sf_dir, "project_path", "importance", "summary", "created_at").where("importance = 'high' AND project_path IS NOT NULL")
@@ -208,6 +216,20 @@ def up_merged_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.merged(p, new, "full_path", ["name", "parent_project", "updated_at"], ["description", "source", "created_at"])
 
 
+def up_backfilled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes that name a known project but lack its path, with the first path of that name."""
+    first = table(spark, sf_dir, "projects").groupBy(F.col("name").alias("project")).agg(F.min("full_path").alias("full_path"))
+    e = episodes(spark, sf_dir, "project", "project_path").where("project_path IS NULL AND project IS NOT NULL")
+    return e.join(F.broadcast(first), "project").select("id", "project", "full_path")
+
+
+def up_forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and what is left of them after every episode whose content is blank was deleted by id."""
+    e = episodes(spark, sf_dir, "session_id", "full_content")
+    gone = e.where(trim_blanks(F.col("full_content")) == "").select("id")
+    return e.join(gone, "id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Episodes of the last three days as candidates, and the earlier ones as the store."""
     e = episodes(spark, sf_dir, "scope", "project", "embedding", "created_at")
@@ -292,7 +314,7 @@ def st_event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (agg_totals, agg_by_project, agg_by_scope, agg_sessions_per_project, agg_recent, agg_entities, agg_session_project, agg_transitions, agg_unembedded_paths, tx_messages, tx_tool_paths, tx_text_paths,
-        tx_first_cwd, tx_chunks, tx_line_range, tx_recent_logs, tx_tail, tx_day_log, tx_project_overview, tx_event_log, up_latest_episode, up_replaced_files, up_merged_projects, up_similar, up_vector_cache,
+        tx_first_cwd, tx_chunks, tx_line_range, tx_recent_logs, tx_tail, tx_context, tx_day_log, tx_project_overview, tx_event_log, up_latest_episode, up_replaced_files, up_merged_projects, up_backfilled_paths, up_forgotten, up_similar, up_vector_cache,
         co_graduates, co_compressed, co_sections, co_strength, co_evergreen, st_extractions, st_event_hours)
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -335,6 +357,9 @@ SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(count(*) AS INTEGER) AS n_t
 SELECT * FROM (SELECT project_path, CAST(row_number() OVER (PARTITION BY project_path ORDER BY name DESC, path) AS INTEGER) AS rank, path FROM p) WHERE rank <= 3""",
     "tx_tail": f"""WITH {_MESSAGES}, b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY session_id ORDER BY line_no DESC, entry_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
 SELECT session_id, count(*) AS n, substring(string_agg(speaker || ': ' || text, chr(10) ORDER BY line_no, entry_id), 1, 6000) AS tail FROM b WHERE before < 6000 GROUP BY 1""",
+    "tx_context": rf"""WITH {C}, t AS (SELECT project_path, id, updated_at, coalesce(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), 0) AS k FROM c WHERE project_path IS NOT NULL),
+b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY project_path ORDER BY updated_at DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+SELECT project_path, count(*) AS n_chunks, CAST(sum(k) AS BIGINT) AS n_tokens, min(updated_at) AS oldest FROM b WHERE before < 2000 GROUP BY 1""",
     "tx_day_log": f"""WITH {E} SELECT project_path, {_DAY} AS day, CAST(count(*) AS INTEGER) AS n, '# ' || {_DAY} || chr(10) || chr(10) ||
   string_agg('## ' || strftime(make_timestamp(created_at * 1000), '%H:%M') || chr(10) || chr(10) || substring(summary, 1, 200), chr(10) || chr(10) ORDER BY created_at, id) || chr(10) AS text
   FROM e WHERE importance = 'high' AND project_path IS NOT NULL GROUP BY 1, 2""",
@@ -349,6 +374,8 @@ SELECT path, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars FROM (SELEC
   FROM episodes WHERE project_path IS NOT NULL GROUP BY 1)
 SELECT coalesce(s.full_path, n.full_path) AS full_path, coalesce(n.name, s.name) AS name, coalesce(n.parent_project, s.parent_project) AS parent_project, coalesce(n.updated_at, s.updated_at) AS updated_at,
   s.description, coalesce(s.source, CASE WHEN n.full_path IS NOT NULL THEN 'auto' END) AS source, coalesce(s.created_at, n.created_at) AS created_at FROM projects s FULL JOIN n ON n.full_path = s.full_path""",
+    "up_backfilled_paths": f"WITH {E}, p AS (SELECT name, min(full_path) AS full_path FROM projects GROUP BY 1) SELECT id, project, full_path FROM e JOIN p ON p.name = e.project WHERE project_path IS NULL",
+    "up_forgotten": f"WITH {E} SELECT session_id, count(*) AS n FROM e WHERE coalesce(trim(full_content, {_TRIM}) <> '', true) GROUP BY 1",
     "up_similar": f"""WITH {E}, x AS (SELECT id, scope, project, created_at, CAST(embedding AS DOUBLE[]) AS v FROM e WHERE len(embedding) = 128 AND list_dot_product(embedding, embedding) > 0),
 p AS (SELECT n.id, s.id AS target, round(list_cosine_similarity(n.v, s.v), 9) AS similarity FROM x n JOIN x s ON n.scope = s.scope AND (n.scope = 'global' OR n.project IS NOT DISTINCT FROM s.project)
   WHERE n.created_at > {NOW - 3 * DAY_MS} AND s.created_at <= {NOW - 3 * DAY_MS}), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, target) AS k FROM p) WHERE k = 1)

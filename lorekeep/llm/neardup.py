@@ -215,10 +215,11 @@ def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.n
     record, token, position = record[once], token[once], position[once]
     size_at = size[record]
     width = int(size.max(initial=0)) + 1
-    # partners: later ones of the same token, up to the length that is still similar enough
-    upto = np.searchsorted(token * width + size_at, token * width + np.minimum(size_at * den // num, width - 1), "right")
-    n = upto - np.arange(len(record)) - 1
+    # partners: later ones of the same token, up to the length that is still similar enough, by size and by own position
     left = size_at - position
+    longest = np.minimum(size_at * den // num, (left * (num + den) - num * size_at) // num)
+    upto = np.searchsorted(token * width + size_at, token * width + np.clip(longest, -1, width - 1), "right")
+    n = np.maximum(upto - np.arange(len(record)) - 1, 0)
     bounds = np.searchsorted(np.cumsum(n), np.arange(step, int(n.sum()), step))
     out, begin = [], 0
     for stop in [*(bounds + 1).tolist(), len(n)]:
@@ -229,7 +230,7 @@ def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.n
         b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + a + 1
         begin = stop
         total = size_at[a] + size_at[b]
-        ok = np.minimum(left[a], left[b]) * (num + den) >= num * total
+        ok = left[b] * (num + den) >= num * total
         a, b, total = record[a[ok]], record[b[ok]], total[ok]
         ok = bitmaps.apart(a, b) <= total - 2 * -(-(num * total) // (num + den))
         if ok.any():

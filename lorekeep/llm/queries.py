@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.jsonl import ISO
-from lorekeep.llm.clusters import similarity_clusters
+from lorekeep.llm.clusters import described, similarity_clusters, split_loose
 from lorekeep.llm.conversations import conversations
 from lorekeep.llm.encode import encode
 from lorekeep.llm.leak import leaks
 from lorekeep.llm.neardup import similar_pairs
 from lorekeep.llm.neighbours import most_similar
 from lorekeep.llm.quality import quality
+from lorekeep.session import durable
 from lorekeep.sources.tables import table
 
 
@@ -50,6 +51,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_clusters(table(spark, sf_dir, "episodes"), "id", "embedding", DIM, 0.75).select("cluster_id", F.col("id").alias("episode_id"))
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "episodes")
+    return e, durable(similarity_clusters(e, "id", "embedding", DIM, 0.75))
+
+
+def p5_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size, cohesion and three most typical members with their summaries."""
+    e, c = _clusters(spark, sf_dir)
+    return described(e, c, "id", "embedding", DIM, "summary")
+
+
+def p5_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters that hang together by chains, split around their medoids."""
+    e, c = _clusters(spark, sf_dir)
+    return split_loose(e, c, "id", "embedding", DIM, 0.75)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -82,7 +100,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p5_found, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p5_found, p5_described, p5_parts, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 

@@ -27,7 +27,7 @@ from lorekeep.session import durable, written
 
 SAMPLE = 32_768
 #: Most centres; below, one for each PER_CELL vectors.
-CENTRES, PER_CELL = 2048, 256
+CENTRES, PER_CELL = 4096, 256
 PROBES = 6
 #: A block of a cell has about as many vectors.
 BLOCK = 16_384

@@ -3,8 +3,9 @@
 Vectors are spread over cells, by the nearest of some centres. In its cell a vector is kept as one bit for each dimension
 of its randomly rotated residual, with correction scalars; from these the inner product with any query is estimated
 without bias and with an error bound (the RaBitQ estimator). A query looks into its ``PROBES`` nearest cells; only where
-the upper bound reaches both the asked similarity and the k-th best lower bound so far is the vector kept for reranking,
-which computes the exact cosine once for each pair.
+the upper bound reaches both the asked similarity and the k-th best lower bound so far is the vector kept. What is kept is
+estimated again with 8 bits a coordinate on both sides, and cut by the k-th best of the cell and then of all cells looked into;
+reranking computes the exact cosine once for each pair that is left.
 
 The centres are fitted on a sample of at most ``SAMPLE`` vectors, but every vector is indexed. The shuffle moves codes, not
 vectors; equal vectors of a task are one record; cells that the sample shows to be large are split into blocks, each of
@@ -33,6 +34,8 @@ PROBES = 6
 BLOCK = 16_384
 #: Standard deviations in the error bound (the value of the method's paper).
 EPSILON = 1.9
+#: Standard deviations in the bound of the 8-bit estimates, whose rounding errors a random rotation makes independent.
+ROUNDING = 6
 KEPT_BITS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,14 +147,14 @@ def _emit(index: Index, dim: int, probes: int):
                 rows = order[i:j]
                 d, q = rows[rows < n], rows[rows >= n] - n
                 a = at[q]
-                arrays = [key[d], np.stack([length[d], factor[d], sims[d, 0]], 1), codes[d], key[a], np.stack([scale[a], sim_q[q]], 1), small[a]]
+                arrays = [key[d], np.stack([length[d], factor[d], sims[d, 0], scale[d]], 1), codes[d], small[d], key[a], np.stack([scale[a], sim_q[q]], 1), small[a]]
                 blobs.append(_pack(arrays))
             yield pa.RecordBatch.from_arrays([pa.array(cell_all[edge], pa.int64()), pa.array(block_all[edge], pa.int64()), pa.array(blobs, pa.binary())], ["cell", "block", "blob"])
 
     return run
 
 
-_KINDS = (np.int64, np.float32, np.uint8, np.int64, np.float32, np.int8)
+_KINDS = (np.int64, np.float32, np.uint8, np.int8, np.int64, np.float32, np.int8)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -182,37 +185,44 @@ def estimates(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, sims:
     return estimate, np.linalg.norm(residual, axis=1)[:, None] * spread
 
 
+def _kth(low: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -2 where there are fewer."""
+    return -np.partition(-low, k - 1, axis=1)[:, k - 1 : k] if low.shape[1] >= k else np.full((len(low), 1), -2, np.float32)
+
+
 def _meet(index: Index, dim: int, k: int, least: float):
-    """Candidates within a block of a cell."""
+    """Candidates ``b`` of queries ``a`` within a block of a cell, with bounds of their cosines."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
-        key, scalars, codes, qkey, qscalars, small = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
-        scalars, codes, qscalars, small = scalars.reshape(-1, 3), codes.reshape(len(key), (dim + 7) // 8), qscalars.reshape(-1, 2), small.reshape(-1, dim)
+        key, scalars, codes, own, qkey, qscalars, small = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
+        scalars, codes, own, qscalars, small = scalars.reshape(-1, 4), codes.reshape(len(key), (dim + 7) // 8), own.reshape(-1, dim), qscalars.reshape(-1, 2), small.reshape(-1, dim)
         key, first = np.unique(key, return_index=True)
-        scalars = scalars[first]
+        scalars, scale = scalars[first, :3], scalars[first, 3]
         signs = np.unpackbits(codes[first], axis=1, count=dim).astype(np.float32) * 2 - 1
+        own = own[first].astype(np.float32) * scale[:, None]
         qkey, first = np.unique(qkey, return_index=True)
         qscalars, small = qscalars[first], small[first]
         centre2 = float((index.centres[cell] ** 2).sum())
-        a, b = [], []
+        a, b, lows, highs = [qkey[:0]], [key[:0]], [np.zeros(0, np.float32)], [np.zeros(0, np.float32)]
         step = max(1, 4_000_000 // max(1, len(key)))
         for i in range(0, len(qkey), step):
             q = small[i : i + step].astype(np.float32) * qscalars[i : i + step, :1]
             e, bound = estimates(signs, scalars, q, qscalars[i : i + step, 1], index.rotated[cell], centre2)
             bound += np.float32(2e-3)  # of the queries' rounding
-            low = e - bound
             itself = key == qkey[i : i + step, None]
-            if len(key) > k:
-                low[itself] = -2
-                kth = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k]
-            else:
-                kth = np.full((len(q), 1), -2, np.float32)
-            x, y = np.nonzero((e + bound >= np.maximum(kth, np.float32(least))) & ~itself)
+            low = e - bound
+            low[itself] = -2
+            kept = (e + bound >= np.maximum(_kth(low, k), np.float32(least))) & ~itself
+            e = q @ own.T
+            bound = np.sqrt(qscalars[i : i + step, :1] ** 2 + scale**2) * np.float32(ROUNDING / np.sqrt(12))
+            low = np.where(kept, e - bound, np.float32(-2))
+            x, y = np.nonzero(kept & (e + bound >= np.maximum(_kth(low, k), np.float32(least))))
             a.append(qkey[i + x])
             b.append(key[y])
-        a, b = np.concatenate(a or [qkey[:0]]), np.concatenate(b or [key[:0]])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            lows.append(low[x, y])
+            highs.append((e + bound)[x, y])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "low": np.concatenate(lows), "high": np.concatenate(highs)})
 
     return run
 
@@ -236,7 +246,7 @@ def _filter_bits(pairs: DataFrame) -> np.ndarray:
 
 
 def members_and_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, pairs: DataFrame) -> DataFrame:
-    """(key, id, vector): every usable row; its vector, scaled to length 1, only where a candidate pair may name its key."""
+    """(key, id, vector): every usable row; its vector, of the input's type, only where a candidate pair may name its key."""
     kept = df.sparkSession.sparkContext.broadcast(_filter_bits(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +256,10 @@ def members_and_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, pair
             key = keys(x)
             wanted = maybe[key.view(np.uint64) % np.uint64(KEPT_BITS)]
             offsets = np.append(0, np.cumsum(np.where(wanted, dim, 0))).astype(np.int32)
-            vectors = pa.ListArray.from_arrays(offsets, pa.array(x[wanted].ravel()))
+            vectors = pa.ListArray.from_arrays(offsets, b.column(1).take(pa.array(rows[wanted])).flatten())
             yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(rows)), vectors], ["key", "id", "vector"])
 
-    return written(df.select(id_col, vec_col).mapInArrow(run, "key bigint, id string, vector array<double>"))
+    return written(df.select(id_col, vec_col).mapInArrow(run, f"key bigint, id string, vector {df.schema[vec_col].dataType.simpleString()}"))
 
 
 def exact_cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -259,7 +269,8 @@ def exact_cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (2, 3))
+            x, y = (np.asarray(b.column(i).flatten(), np.float64).reshape(b.num_rows, -1) for i in (2, 3))
+            x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], ["a", "b", "cosine"])
 
     return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, cosine double")
@@ -275,7 +286,11 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, lea
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
     index = fit(rows, "__vec", dim)
     cells = rows.select("__vec").mapInArrow(_emit(index, dim, probes), "cell bigint, block bigint, blob binary")
-    pairs = durable(cells.groupBy("cell", "block").applyInPandas(_meet(index, dim, k, least), "a bigint, b bigint").distinct())
+    met = cells.groupBy("cell", "block").applyInPandas(_meet(index, dim, k, least), "a bigint, b bigint, low float, high float")
+    # what can still be among a query's k best of all its cells
+    met = met.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.col("low").desc())))
+    met = met.withColumn("kth", F.max(F.when(F.col("place") == k, F.col("low"))).over(W.partitionBy("a"))).where(F.col("high") >= F.coalesce("kth", F.lit(-2.0)))
+    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     m = members_and_vectors(rows, "__id", "__vec", dim, pairs)
     near = exact_cosines(pairs, m).where(F.col("cosine") >= least)
     near = durable(near.select("a", "b", "cosine").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")))

@@ -21,17 +21,22 @@ from lorekeep.sources.tables import table
 DIM = 128
 
 
-def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar rows of every row, of cosine 0.93 or more."""
+def _neighbours(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
     out = None
     for name in ("episodes", "chunks"):
-        t = most_similar(table(spark, sf_dir, name), "id", "embedding", DIM, 5, 0.93).select(F.lit(name).alias("table_name"), "id", "neighbour", "cosine", "rank")
+        t = most_similar(table(spark, sf_dir, name), "id", "embedding", DIM, 5, least).select(F.lit(name).alias("table_name"), "id", "neighbour", "cosine", "rank")
         out = t if out is None else out.unionByName(t)
     return out
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar rows of every row, however similar they are."""
+    return _neighbours(spark, sf_dir, -1.0)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_neighbours(spark, sf_dir).select("table_name", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+    """Pairs of cosine 0.93 or more of which one row is among the five most similar of the other."""
+    return _neighbours(spark, sf_dir, 0.93).select("table_name", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

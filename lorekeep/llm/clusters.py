@@ -2,8 +2,7 @@
 
 Each vector becomes a set: the ``TOKENS`` largest coordinates, with their signs, of ROTATIONS random rotations. MinHash banding of the
 sets gives candidate pairs: a band of one MinHash (of BANDS) brings records together, and of those the pairs that also share one
-of INNER bands of WIDTH MinHashes, other ones in each band. Pairs whose signatures estimate a Jaccard similarity that is far too small are dropped, the others
-verified by the cosine that defines a link. Linked records are joined within each task first, and connected components
+of INNER bands of WIDTH MinHashes, other ones in each band. All are verified by the cosine that defines a link. Linked records are joined within each task first, and connected components
 of what the tasks report give the clusters.
 
 Each task verifies with vectors of 8 bits a coordinate, whose error is bounded: only links within that bound of the
@@ -28,9 +27,7 @@ from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
 ROTATIONS, TOKENS = 8, 128
-BANDS, INNER, WIDTH, VALUES = 28, 64, 4, 64
-#: Signature values, of VALUES, that a pair must share.
-LEAST_SHARED = 10
+BANDS, INNER, WIDTH, VALUES = 28, 64, 3, 64
 #: Groups up to this size are compared pair by pair.
 SMALL = 48
 #: Records that one task gets, about.
@@ -175,12 +172,6 @@ def _meet(inner: np.ndarray, dim: int, least: float):
         def sure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return cosines(a, b) >= least + error[a] + error[b]
 
-        def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(len(a), np.uint8)
-            for i in range(0, len(a), 1 << 15):
-                np.sum(short[a[i : i + (1 << 15)]] == short[b[i : i + (1 << 15)]], axis=1, dtype=np.uint8, out=out[i : i + (1 << 15)])
-            return out
-
         label = np.arange(len(key))
         unsure: list[np.ndarray] = []
         band = bucket >> 16
@@ -216,8 +207,6 @@ def _meet(inner: np.ndarray, dim: int, least: float):
                 a, b = row[np.concatenate(some_a)], row[np.concatenate(some_b)]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
-                ok = shared(a, b) >= LEAST_SHARED
-                a, b = a[ok], b[ok]
                 c, bound = cosines(a, b), error[a] + error[b]
                 linked = c >= least + bound
                 maybe = ~linked & (c >= least - bound)
@@ -310,7 +299,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, leas
 
     Two rows are in one cluster if their vectors' cosine is at least ``least`` or a chain of such pairs joins them. Rows
     count if their vectors have ``dim`` finite elements that aren't all zero; rows with the same id are one row, rows without
-    id none; ids must be strings. Approximate: a link is missed where two sets share no band. Other columns aren't read.
+    id none; ids must be strings. Approximate: a link is missed where two sets share no band, or in no shared band an inner one. Other columns aren't read.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
     labels, m = _labels(rows, dim, least)

@@ -7,8 +7,8 @@ of what the tasks report give the clusters.
 
 Each task verifies with vectors of 8 bits a coordinate, whose error is bounded: only links within that bound of the
 threshold, and only if they join different clusters, are decided on the whole vectors. Where many records share a band, each
-is held against the first of them, and those without a link to it against the next, so that a dense group of n records
-costs n comparisons, not n^2. Equal vectors are one record.
+is first held against one of them; then those outside the largest cluster against all, in blocks, so that a dense group of n
+records costs n comparisons, not n^2, and no pair of different clusters is left out. Equal vectors are one record.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ ROTATIONS, TOKENS = 8, 128
 BANDS, INNER, WIDTH, VALUES = 28, 64, 3, 64
 #: Groups up to this size are compared pair by pair.
 SMALL = 48
+#: Larger groups are compared in blocks of as many records.
+BLOCK = 2048
 #: Records that one task gets, about.
 RECORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -126,29 +128,21 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _within(group: np.ndarray, shuffled: np.ndarray, test) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs to look at: all of a small group's; in a large one, each record with the first, then those ``test`` doesn't link to it among themselves."""
-    out_a, out_b = [], []
+def _within(group: np.ndarray, shuffled: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pairs to look at: all of a small group's, in a large one each record with the first; and the records of each large group."""
     order = np.lexsort((shuffled, group))
-    while len(order):
-        g = group[order]
-        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(begin, len(g)))
-        small = np.repeat((size > 1) & (size <= SMALL), size)
-        # later members of the same small group
-        at = np.flatnonzero(small)
-        n = np.repeat(begin + size, size)[at] - at - 1
-        a = np.repeat(at, n)
-        out_a.append(order[a])
-        out_b.append(order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1])
-        large = np.repeat(size > SMALL, size)
-        leader = np.repeat(order[begin], size)
-        rest = large & (leader != order)
-        a, b = leader[rest], order[rest]
-        out_a.append(a)
-        out_b.append(b)
-        order = b[~test(a, b)]
-    return out_a, out_b
+    g = group[order]
+    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    size = np.diff(np.append(begin, len(g)))
+    # later members of the same small group
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    n = np.repeat(begin + size, size)[at] - at - 1
+    a = np.repeat(at, n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+    large = size > SMALL
+    leader = np.repeat(order[begin], size)
+    rest = np.repeat(large, size) & (leader != order)
+    return np.append(order[a], leader[rest]), np.append(order[b], order[rest]), [order[i : i + m] for i, m in zip(begin[large].tolist(), size[large].tolist())]
 
 
 def _meet(inner: np.ndarray, dim: int, least: float):
@@ -169,11 +163,24 @@ def _meet(inner: np.ndarray, dim: int, least: float):
                 out[i : i + (1 << 17)] = np.einsum("ij,ij->i", small[x].astype(np.float32), small[y].astype(np.float32)) * scale[x] * scale[y]
             return out
 
-        def sure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return cosines(a, b) >= least + error[a] + error[b]
-
         label = np.arange(len(key))
         unsure: list[np.ndarray] = []
+
+        def link(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+            nonlocal label
+            bound = error[a] + error[b]
+            linked = c >= least + bound
+            maybe = ~linked & (c >= least - bound)
+            if maybe.any():
+                x, y = a[maybe], b[maybe]
+                unsure.append(np.unique(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64)))
+            if linked.any():
+                nodes, index = np.unique(np.concatenate([label[a[linked]], label[b[linked]]]), return_inverse=True)
+                half = int(linked.sum())
+                to = np.arange(len(key))
+                to[nodes] = nodes[components(len(nodes), index[:half], index[half:])]
+                label = to[label]
+
         band = bucket >> 16
         for t in range(BANDS):
             own = np.flatnonzero(band == t)
@@ -203,23 +210,27 @@ def _meet(inner: np.ndarray, dim: int, least: float):
                 keep = np.repeat(open_, size)
                 row, group = rows[at[keep]], np.repeat(np.cumsum(open_), size)[keep]
                 shuffled = (key[row].view(np.uint64) * _MIX) ^ np.uint64((t * INNER + k) * 0x51ED270B)
-                some_a, some_b = _within(group, shuffled, lambda a, b, row=row: (label[row[a]] == label[row[b]]) | sure(row[a], row[b]))
-                a, b = row[np.concatenate(some_a)], row[np.concatenate(some_b)]
+                a, b, large = _within(group, shuffled)
+                a, b = row[a], row[b]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
-                c, bound = cosines(a, b), error[a] + error[b]
-                linked = c >= least + bound
-                maybe = ~linked & (c >= least - bound)
-                if maybe.any():
-                    x, y = a[maybe], b[maybe]
-                    unsure.append(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64))
-                if linked.any():
-                    nodes, index = np.unique(np.concatenate([label[a[linked]], label[b[linked]]]), return_inverse=True)
-                    half = int(linked.sum())
-                    to = np.arange(len(key))
-                    to[nodes] = nodes[components(len(nodes), index[:half], index[half:])]
-                    label = to[label]
-                    row_labels = label[rows]
+                link(a, b, cosines(a, b))
+                # of each large group the records outside its largest cluster, with all of the group
+                for members in large:
+                    members = row[members]
+                    _, own, sizes = np.unique(label[members], return_inverse=True, return_counts=True)
+                    outside = members[own != sizes.argmax()]
+                    if not len(outside):
+                        continue
+                    for i in range(0, len(members), BLOCK):
+                        y = members[i : i + BLOCK]
+                        vectors = small[y].astype(np.float32).T * scale[y]
+                        for j in range(0, len(outside), BLOCK):
+                            x = outside[j : j + BLOCK]
+                            c = (small[x].astype(np.float32) * scale[x, None]) @ vectors
+                            at_x, at_y = np.nonzero((c >= least - error[x, None] - error[y]) & (label[x, None] != label[y]))
+                            link(x[at_x], y[at_y], c[at_x, at_y])
+                row_labels = label[rows]
         pair = np.unique(np.concatenate(unsure)) if unsure else np.zeros(0, np.uint64)
         a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         apart = label[a] != label[b]

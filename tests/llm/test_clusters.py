@@ -1,10 +1,29 @@
 """Links that the candidates of problem 5 must not lose."""
 
 import numpy as np
+import pandas as pd
 
 from lorekeep.llm import clusters
 
 
+def test_a_dense_group_keeps_a_record_that_only_one_member_links(monkeypatch):
+    monkeypatch.setattr(clusters, "INNER", 1)
+    dim, n = 64, 62
+    x = np.full((n, dim), 0.001)
+    x[:, 0] = 1
+    x[-2, :2] = np.cos(0.6), np.sin(0.6)  # linked to all
+    x[-1, :2] = np.cos(1.2), np.sin(1.2)  # linked to that one only
+    x += np.random.default_rng(0).normal(0, 0.001, x.shape)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    scale = np.abs(x).max(1) / 127
+    rank = np.arange(1000, dtype=np.int64)
+    key = rank[np.argsort(rank.view(np.uint64) * clusters._MIX)][:n]  # the two are never first
+    blob = clusters._pack([key, scale, np.round(x / scale[:, None]), np.ones((n, clusters.VALUES)), np.ones(n), np.ones(n)])
+    inner = np.zeros((clusters.BANDS, 1, clusters.WIDTH), int)
+    out = clusters._meet(inner, dim, 0.75)(pd.DataFrame({"blob": [blob]}))
+    assert out["sure"].sum() == n - 1
+
+
 def test_recall_of_bands_at_the_threshold():
     rng = np.random.default_rng(4)
     a, b = rng.standard_normal((2, 2000, 128))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most candidates that one batch is held against the store with.
-BATCH_ROWS = 20_000
+#: A block of candidates, and one of the store, has about as many rows.
+BLOCK_ROWS = 4_096
 
 
 def replaced(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -30,50 +28,53 @@ def effective_scope(scope: Column, project: Column, is_root: Column) -> Column:
     return F.when(project.isNull() | is_root, F.lit("global")).otherwise(F.lit("project"))
 
 
-def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int = BATCH_ROWS) -> DataFrame:
+def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows aren't all zero, their vectors scaled to length 1)."""
+    x = np.stack(vectors.to_list()).astype(np.float64).reshape(-1, dim)
+    norm = np.linalg.norm(x, axis=1)
+    return norm > 0, x[norm > 0] / norm[norm > 0, None]
+
+
+def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int | None = None) -> DataFrame:
     """(id, match, similarity): for each candidate the most similar stored row of the same scope and project.
 
-    Both have (id, scope, project, embedding). The candidates are one batch: more than ``most`` are refused. They are held
-    in each task while the store is read once; each task gives one row per candidate at most, and the best of those is
-    kept. Similarities are rounded to 9 digits; of equal ones the smallest id is taken. Rows without a usable vector match none.
+    Both have (id, scope, project, embedding). Candidates and store are spread over blocks of each scope and project by the
+    hashes of their ids; each block of candidates meets each block of the store in a group of its own, and the best of the groups is
+    kept. No number of candidates is refused, unless ``most`` says so. Similarities are rounded to 9 digits; of equal
+    ones the smallest id is taken. Rows without a usable vector match none.
     """
-    batch = candidates.select("id", "scope", "project", "embedding").where(F.size("embedding") == dim).limit(most + 1).toPandas()
-    if len(batch) > most:
+    if most is not None and candidates.where(F.size("embedding") == dim).limit(most + 1).count() > most:
         raise ValueError(f"a batch has at most {most} candidates")
-    x = np.array([np.asarray(v, np.float64) for v in batch["embedding"]]).reshape(len(batch), dim)
-    norm = np.linalg.norm(x, axis=1)
-    batch, x = batch[norm > 0], x[norm > 0] / norm[norm > 0, None]
-    ids, kinds = batch["id"].tolist(), [(s, p) if s != "global" else ("global", None) for s, p in zip(batch["scope"], batch["project"].where(batch["project"].notna(), None))]
-    shared = store.sparkSession.sparkContext.broadcast((ids, kinds, x))
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, kinds, x = shared.value
-        by_kind: dict[tuple, list[int]] = {}
-        for i, k in enumerate(kinds):
-            by_kind.setdefault(k, []).append(i)
-        best: dict[int, tuple[float, str]] = {}
-        for pdf in pdfs:
-            pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == dim)]
-            own = pd.Series([(s, p) if s != "global" else ("global", None) for s, p in zip(pdf["scope"], pdf["project"].where(pdf["project"].notna(), None))], index=pdf.index, dtype=object)
-            for kind, rows in pdf.groupby(own):
-                at = by_kind.get(kind)
-                if at is None:
-                    continue
-                y = np.stack(rows["embedding"].to_list()).astype(np.float64)
-                length = np.linalg.norm(y, axis=1)
-                y, names = y[length > 0] / length[length > 0, None], rows["id"].to_numpy()[length > 0]
-                if not len(y):
-                    continue
-                order = np.argsort(names)
-                sims = np.round(x[at] @ y[order].T, 9)
-                for i, k in zip(at, sims.argmax(1)):
-                    s, name = sims[at.index(i), k], names[order[k]]
-                    if i not in best or (-s, name) < (-best[i][0], best[i][1]):
-                        best[i] = (float(s), str(name))
-        text = lambda values: pd.Series(values, dtype=object)
-        yield pd.DataFrame({"id": text([ids[i] for i in best]), "match": text([b[1] for b in best.values()]), "similarity": pd.Series([b[0] for b in best.values()], dtype="float64")})
-
-    found = store.select("id", "scope", "project", "embedding").mapInPandas(run, "id string, match string, similarity double")
+
+    def rows(df: DataFrame) -> DataFrame:
+        project = F.when(F.col("scope") != "global", F.col("project"))
+        return df.where((F.size("embedding") == dim) & F.col("scope").isNotNull()).select("id", "scope", project.alias("project"), "embedding")
+
+    c, s = rows(candidates), rows(store)
+    count = lambda df, name: df.groupBy("scope", "project").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    a, b = count(c, "n_c").alias("a"), count(s, "n_s").alias("b")
+    kinds = a.join(b, F.col("a.scope").eqNullSafe(F.col("b.scope")) & F.col("a.project").eqNullSafe(F.col("b.project"))).select(F.col("a.scope").alias("k_scope"), F.col("a.project").alias("k_project"), "n_c", "n_s")
+
+    def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own)
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        on = F.col("scope").eqNullSafe(F.col("k_scope")) & F.col("project").eqNullSafe(F.col("k_project"))
+        return df.join(kinds, on).select("scope", "project", at, each, F.lit(side).alias("side"), "id", "embedding").select("scope", "project", "n_c", "n_s", "side", "id", "embedding")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        new, old = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        out = pd.DataFrame({"id": pd.Series([], dtype=object), "match": pd.Series([], dtype=object), "similarity": pd.Series([], dtype="float64")})
+        if not len(new) or not len(old):
+            return out
+        (some, x), (others, y) = _unit_rows(new["embedding"], dim), _unit_rows(old["embedding"], dim)
+        if not len(x) or not len(y):
+            return out
+        sims = np.round(x @ y.T, 9)
+        k = sims.argmax(1)
+        return pd.DataFrame({"id": new["id"].to_numpy()[some], "match": old["id"].to_numpy()[others][k], "similarity": sims[np.arange(len(k)), k]})
+
+    both = spread(c, "n_c", "n_s", 0).unionByName(spread(s, "n_s", "n_c", 1))
+    found = both.groupBy("scope", "project", "n_c", "n_s").applyInPandas(meet, "id string, match string, similarity double")
     top = found.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
     return top.select("id", F.col("b.match").alias("match"), (-F.col("b.s")).alias("similarity"))
 

@@ -35,8 +35,10 @@ LARGEST = 6
 POSTINGS = 1_500_000
 #: Bits of the filter that keeps the texts of candidates in the last pass (fixed size, whatever the corpus).
 KEPT_BITS = 1 << 24
-#: Groups of equal texts up to this size come out as all pairs, larger ones as pairs with the smallest id.
+#: Groups of exact copies of a text up to this size come out as all pairs, larger ones as pairs with the smallest id.
 ALL_PAIRS = 100
+#: Members of a set that one task pairs with the others of it, about.
+SET_ROWS = 1_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -300,11 +302,13 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
 
     Similar: a Jaccard similarity of at least ``num / den`` over the sets of ``shingle`` consecutive words. Texts that are
     null or have fewer than ``least_words`` words are similar to none; rows with the same id are one row, rows without id
-    none. Of a group of more than ALL_PAIRS ids whose texts have equal sets, each id comes out with the smallest one only.
+    none. Of a group of more than ALL_PAIRS ids with the very same text, each id comes out with the smallest one only; different
+    texts of equal sets are paired like all others.
     Ids must be strings; other columns aren't read.
     """
     spark = df.sparkSession
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__t{i}") for i, c in enumerate(text_cols)])
+    hashed = texts.select("*", *[F.xxhash64(f"__t{i}").alias(f"__h{i}") for i in range(len(text_cols))])
     columns = len(text_cols)
     found = durable(candidates(texts, columns, num, den, shingle, least_words, hot).distinct())
 
@@ -325,14 +329,15 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            for _, first, s in sets(b, columns, shingle, least_words):
+            for field, first, s in sets(b, columns, shingle, least_words):
+                copy = b.column(1 + columns + field).take(pa.array(s.texts + first))
                 ids = b.column(0).take(pa.array(s.texts + first))
                 wanted = maybe[s.key.view(np.uint64) % np.uint64(KEPT_BITS)]
                 offsets = np.append(0, np.cumsum(np.where(wanted, s.size, 0))).astype(np.int32)
                 values = s.hash[np.repeat(wanted, s.size)].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s.key), ids, pa.ListArray.from_arrays(offsets, pa.array(values))], ["key", "id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.key), ids, copy, pa.ListArray.from_arrays(offsets, pa.array(values))], ["key", "id", "copy", "shingles"])
 
-    rows = written(texts.mapInArrow(members, "key bigint, id string, shingles array<bigint>"))
+    rows = written(hashed.mapInArrow(members, "key bigint, id string, copy bigint, shingles array<bigint>"))
     m = rows.select("key", "id").distinct()
     one = rows.where(F.size("shingles") > 0).groupBy("key").agg(F.first("shingles").alias("shingles"))
     a = one.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
@@ -340,9 +345,17 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
     common = F.size(F.array_intersect("sa", "sb"))
     alike = found.join(a, "a").join(b, "b").where(common * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
     both = alike.join(m.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
-    copies = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x")).where("n > 1")
-    star = m.withColumnRenamed("id", "y").join(copies, "key").where(F.col("x") < F.col("y")).select("key", "n", "x", "y")
-    small = star.where(F.col("n") <= ALL_PAIRS).select("key", "y")
-    rest = small.withColumnRenamed("y", "x").join(small, "key").where(F.col("x") < F.col("y"))
-    every = both.select("x", "y").unionByName(star.select("x", "y")).unionByName(rest.select("x", "y")).where(F.col("x") != F.col("y"))
+    # of equal sets: exact copies of a text
+    t = rows.select("key", "copy", "id").distinct()
+    copies = t.groupBy("key", "copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x")).where("n > 1")
+    star = t.withColumnRenamed("id", "y").join(copies, ["key", "copy"]).where(F.col("x") < F.col("y")).select("key", "copy", "n", "x", "y")
+    small = star.where(F.col("n") <= ALL_PAIRS).select("key", "copy", "y")
+    rest = small.withColumnRenamed("y", "x").join(small, ["key", "copy"]).where(F.col("x") < F.col("y"))
+    # and different texts, large sets spread over salts
+    many = t.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SET_ROWS).cast("int").alias("salts"), F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high").select("key", "salts")
+    mixed = t.join(many, "key")
+    one_side = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("copy").alias("cx"), F.col("id").alias("x"))
+    other_side = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("copy").alias("cy"), F.col("id").alias("y"))
+    differ = one_side.join(other_side, ["key", "salt"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
+    every = both.select("x", "y").unionByName(star.select("x", "y")).unionByName(rest.select("x", "y")).unionByName(differ.select("x", "y")).where(F.col("x") != F.col("y"))
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -1,14 +1,19 @@
 """Problem 5: clusters of records whose vectors are alike.
 
-Each vector becomes a set: the ``TOKENS`` largest coordinates, with their signs, of ROTATIONS random rotations. MinHash banding of the
-sets gives candidate pairs: a band of one MinHash (of BANDS) brings records together, and of those the pairs that also share one
-of INNER bands of WIDTH MinHashes, other ones in each band. All are verified by the cosine that defines a link. Linked records are joined within each task first, and connected components
-of what the tasks report give the clusters.
-
-Each task verifies with vectors of 8 bits a coordinate, whose error is bounded: only links within that bound of the
-threshold, and only if they join different clusters, are decided on the whole vectors. Where many records share a band, each
-is first held against one of them; then those outside the largest cluster against all, in blocks, so that a dense group of n
-records costs n comparisons, not n^2, and no pair of different clusters is left out. Equal vectors are one record.
+Each vector becomes a set: the quarter of its coordinates that are largest, with their signs, in some random rotations. MinHash banding
+of the sets gives candidate pairs: a band of one MinHash (of BANDS) brings records together, and of those the pairs that also share an
+inner band of at least WIDTH further MinHashes. Every candidate pair is verified by the exact Jaccard similarity of the two sets, and what passes by
+the cosine that defines a link. Linked records are joined within each task first, and connected components of what the tasks
+report give the clusters.
+
+A record is sent once for each band, as 8-bit vector, whatever the number of records; sets and inner MinHashes are worked out again in the task. The buckets of a band
+are spread over parts of about PART_ROWS records by their exact counts; a bucket with more is cut into blocks, and every two of its blocks meet in a part
+of their own, so a part is bounded and no pair is left out. The inner bands widen with the part, so that candidates per record don't grow.
+
+8-bit vectors have a bounded error: only links within that bound of the threshold, and only if they join different clusters, are
+decided on the whole vectors. Where many records share an inner band, each is first held against one of them; then those
+outside the largest cluster against all, in blocks, so that a dense group of n records costs n comparisons, not n^2, and no
+pair of different clusters is left out. Equal vectors are one record.
 """
 
 from __future__ import annotations
@@ -26,14 +31,19 @@ from lorekeep.llm.neighbours import exact_cosines, keys, members_and_vectors, us
 from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
-ROTATIONS, TOKENS = 8, 128
-BANDS, INNER, WIDTH, VALUES = 28, 64, 3, 64
+#: Coordinates that sets are taken from, in as many rotations as that needs; a quarter of them are in the set.
+COORDINATES = 256
+BANDS, WIDTH, VALUES = 12, 3, 64
+#: Inner bands of WIDTH values; of one value more, each time FURTHER times as many, which keeps the recall.
+INNER, FURTHER = 96, 3.2
+#: A candidate's least Jaccard similarity. At a cosine of 0.75 fewer than one pair in 10,000 has less (mean 0.37, standard deviation 0.04).
+LEAST_JACCARD = 0.2
 #: Groups up to this size are compared pair by pair.
 SMALL = 48
 #: Larger groups are compared in blocks of as many records.
 BLOCK = 2048
 #: Records that one task gets, about.
-RECORDS = 500_000
+PART_ROWS = 120_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,25 +52,73 @@ class Scheme:
 
     def __init__(self, dim: int):
         rng = np.random.default_rng(11)
-        self.rotation = np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)], 1).astype(np.float32)
-        self.universe = 2 * dim * ROTATIONS
-        self.orders = np.stack([rng.permutation(self.universe) for _ in range(BANDS + VALUES)]).astype(np.uint16)
-        #: for each band, the values of each of its inner bands
-        self.inner = np.stack([[rng.choice(VALUES, WIDTH, replace=False) for _ in range(INNER)] for _ in range(BANDS)])
-
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """MinHash values, one column for each order."""
+        rotations = -(-COORDINATES // dim)
+        self.rotation = np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(rotations)], 1).astype(np.float32)
+        self.universe = 2 * dim * rotations
+        self.size = max(1, dim * rotations // 4)
+        self.orders = np.stack([rng.permutation(self.universe) for _ in range(BANDS * (1 + VALUES))]).astype(np.uint16)
+
+    def tokens(self, x: np.ndarray) -> np.ndarray:
+        """The set of each vector: coordinates and signs."""
         y = x @ self.rotation
-        m = min(TOKENS, y.shape[1])
-        at = np.argpartition(-np.abs(y), m - 1, axis=1)[:, :m]
-        tokens = 2 * at + (np.take_along_axis(y, at, 1) > 0)
-        out = np.empty((len(x), len(self.orders)), np.uint16)
-        for k, order in enumerate(self.orders):
-            out[:, k] = order[tokens].min(1)
-        return out
+        at = np.argpartition(-np.abs(y), self.size - 1, axis=1)[:, : self.size]
+        return 2 * at + (np.take_along_axis(y, at, 1) > 0)
+
+    def bands(self, tokens: np.ndarray) -> np.ndarray:
+        """The MinHash of each band, one column for each."""
+        return np.stack([order[tokens].min(1) for order in self.orders[:BANDS]], 1)
+
+    def values(self, tokens: np.ndarray, band: int) -> np.ndarray:
+        """The further MinHashes of a band, one row for each, as bytes: hardly any least rank is larger."""
+        first = BANDS + band * VALUES
+        return np.stack([np.minimum(order[tokens].min(1), 255).astype(np.uint8) for order in self.orders[first : first + VALUES]])
+
+    def bitmaps(self, tokens: np.ndarray) -> np.ndarray:
+        bits = np.zeros((len(tokens), -(-self.universe // 64) * 64), np.uint8)
+        np.put_along_axis(bits, tokens, 1, axis=1)
+        return np.packbits(bits, axis=1).view(np.uint64)
+
+    def inner(self, rows: int) -> np.ndarray:
+        """The values of each inner band, for a part of as many rows: the width grows with their logarithm."""
+        wider = max(0, int(np.ceil(np.log(max(rows, 1) / 2**18) / np.log(16))))
+        rng = np.random.default_rng(13)
+        return np.stack([rng.choice(VALUES, WIDTH + wider, replace=False) for _ in range(int(INNER * FURTHER**wider))])
+
+
+class Layout:
+    """Where the buckets of each band go: ``first`` part and number of ``blocks`` of each; of several blocks, every two share a part."""
+
+    def __init__(self, counts: np.ndarray, part_rows: int):
+        self.first = np.zeros(counts.shape, np.int64)
+        self.blocks = np.maximum(1, -(-counts // part_rows))
+        self.parts = 0
+        for band in range(len(counts)):
+            room = 0
+            for value in np.argsort(-counts[band], kind="stable").tolist():
+                n, b = int(counts[band, value]), int(self.blocks[band, value])
+                if b > 1:
+                    self.first[band, value] = self.parts
+                    self.parts += b * (b + 1) // 2
+                    continue
+                if n > room:
+                    room, self.parts = part_rows, self.parts + 1
+                self.first[band, value] = self.parts - 1
+                room -= n
+
+    def parts_of(self, bands: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(records, bands, parts) that records with these MinHashes go to."""
+        n = len(key)
+        record, band = np.repeat(np.arange(n), bands.shape[1]), np.tile(np.arange(bands.shape[1]), n)
+        first, blocks = self.first[band, bands.ravel()], self.blocks[band, bands.ravel()]
+        own = ((key.view(np.uint64) * _MIX >> np.uint64(20)) % blocks.reshape(n, -1).T.astype(np.uint64)).T.ravel().astype(np.int64)
+        at = np.repeat(np.arange(len(record)), blocks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+        return record[at], band[at], first[at] + high * (high + 1) // 2 + low
 
 
-_KINDS = (np.int64, np.float32, np.int8, np.uint8, np.uint16, np.uint32)
+#: key, scale, 8-bit vector and MinHash of the band of each record
+_KINDS = (np.int64, np.float32, np.int8, np.uint16)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -76,37 +134,59 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _emit(scheme: Scheme, dim: int, parts: int):
-    """Packs, for each part of the bands' buckets, the task's records once and the buckets they are in."""
+def _records(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, scales, 8-bit vectors) of the usable vectors, those that the task has not sent yet."""
+    seen: set[int] = set()
+    for b in batches:
+        _, x = usable(b.column(0), dim)
+        key = keys(x)
+        _, first = np.unique(key, return_index=True)
+        first = first[[k not in seen for k in key[first].tolist()]]
+        seen.update(key[first].tolist())
+        if len(seen) > 1_000_000:  # forgetting only sends a vector again
+            seen.clear()
+        if len(first):
+            x = x[first].astype(np.float32)
+            scale = np.abs(x).max(1) / 127
+            yield key[first], scale, np.round(x / scale[:, None]).astype(np.int8)
 
+
+def _count(scheme: Scheme, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            _, x = usable(b.column(0), dim)
-            key = keys(x)
-            _, first = np.unique(key, return_index=True)
-            first = first[[k not in seen for k in key[first].tolist()]]
-            seen.update(key[first].tolist())
-            if len(seen) > 1_000_000:  # forgetting only sends a vector again
-                seen.clear()
-            if not len(first):
-                continue
-            key, x = key[first], x[first].astype(np.float32)
-            signature = scheme.signatures(x)
-            scale = np.abs(x).max(1) / 127
-            small = np.round(x / scale[:, None]).astype(np.int8)
-            short = np.minimum(signature[:, BANDS:], 255).astype(np.uint8)  # hardly any least rank is larger
-            bucket = (np.arange(BANDS, dtype=np.uint64) << np.uint64(16) | signature[:, :BANDS].astype(np.uint64)).ravel()
-            record = np.repeat(np.arange(len(key)), BANDS)
-            part = (bucket * _MIX >> np.uint64(33)) % np.uint64(parts)
+        total = np.zeros((BANDS, scheme.universe), np.int64)
+        for _, scale, small in _records(batches, dim):
+            bands = scheme.bands(scheme.tokens(small * scale[:, None]))
+            for t in range(BANDS):
+                total[t] += np.bincount(bands[:, t], minlength=scheme.universe)
+        band, value = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(value, pa.int32()), pa.array(total[band, value])], ["band", "value", "n"])
+
+    return run
+
+
+def _layout(vectors: DataFrame, scheme: Scheme, dim: int, part_rows: int) -> Layout:
+    """The parts, from exact counts of all buckets: BANDS times the number of tokens at most, whatever the collection."""
+    counts = np.zeros((BANDS, scheme.universe), np.int64)
+    for r in vectors.mapInArrow(_count(scheme, dim), "band int, value int, n bigint").groupBy("band", "value").agg(F.sum("n").alias("n")).collect():
+        counts[r["band"], r["value"]] = r["n"]
+    return Layout(counts, part_rows)
+
+
+def _emit(scheme: Scheme, layout: Layout, dim: int):
+    """Packs the records of a task for the parts, once for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, scale, small in _records(batches, dim):
+            bands = scheme.bands(scheme.tokens(small * scale[:, None]))
+            record, band, part = layout.parts_of(bands, key)
             order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            edge = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
             blobs = []
-            for p in range(parts):
-                rows = order[edge[p] : edge[p + 1]]
-                used, n = np.unique(record[rows], return_counts=True)
-                blobs.append(_pack([key[used], scale[used], small[used], short[used], n, bucket[rows]]))
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+                rows = order[i:j]
+                own = record[rows]
+                blobs.append(_pack([key[own], scale[own], small[own], bands[own, band[rows]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[order[edge]], pa.int64()), pa.array(band[order[edge]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "band", "blob"])
 
     return run
 
@@ -145,17 +225,28 @@ def _within(group: np.ndarray, shuffled: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(order[a], leader[rest]), np.append(order[b], order[rest]), [order[i : i + m] for i, m in zip(begin[large].tolist(), size[large].tolist())]
 
 
-def _meet(inner: np.ndarray, dim: int, least: float):
+def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, scale, small, short, n, bucket = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
-        record = np.repeat(np.arange(len(key)), n)
-        small, short = small.reshape(len(key), dim), short.reshape(len(key), VALUES)
-        key, first, same = np.unique(key, return_index=True, return_inverse=True)
-        scale, small, short, record = scale[first], small[first], short[first], same[record]
-        norm = np.linalg.norm(small.astype(np.float32), axis=1) * scale
+        band = int(pdf["band"].iloc[0])
+        key, scale, small, value = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
+        key, first = np.unique(key, return_index=True)
+        scale, small, value = scale[first], small.reshape(-1, dim)[first], value[first]
+        steps = [slice(i, i + (1 << 16)) for i in range(0, len(key), 1 << 16)]
+        tokens = [scheme.tokens(small[i] * scale[i, None]) for i in steps]
+        sets = np.concatenate([scheme.bitmaps(t) for t in tokens])
+        values = np.concatenate([scheme.values(t, band) for t in tokens], 1)
+        del tokens
         # a coordinate is off by half a step at most, so a vector by half a step times the root of the width; both vectors count
         error = scale * np.float32(np.sqrt(dim) / 2 * 1.1)
 
+        def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Whether the sets of pairs have a Jaccard similarity of at least ``jaccard``."""
+            out = np.empty(len(a), bool)
+            for i in range(0, len(a), 1 << 17):
+                common = np.bitwise_count(sets[a[i : i + (1 << 17)]] & sets[b[i : i + (1 << 17)]]).sum(1, dtype=np.int32)
+                out[i : i + (1 << 17)] = common >= jaccard * (2 * scheme.size - common)
+            return out
+
         def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             out = np.empty(len(a), np.float32)
             for i in range(0, len(a), 1 << 17):
@@ -181,56 +272,50 @@ def _meet(inner: np.ndarray, dim: int, least: float):
                 to[nodes] = nodes[components(len(nodes), index[:half], index[half:])]
                 label = to[label]
 
-        band = bucket >> 16
-        for t in range(BANDS):
-            own = np.flatnonzero(band == t)
-            if len(own) < 2:
+        bits = np.uint64(int(len(key)).bit_length())
+        place = np.arange(len(key), dtype=np.uint64)
+        for k, columns in enumerate(scheme.inner(len(key))):
+            mixed = value.astype(np.uint64)
+            for column in columns:
+                mixed = mixed << np.uint64(8) | values[column]
+            # hashed and sorted together with the places, which is quicker than sorting places; equal hashes of different bands only add candidates
+            mixed = np.sort((mixed * _MIX >> bits) << bits | place)
+            at = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            mixed >>= bits
+            begin = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1])) if len(mixed) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(mixed)))
+            # groups of one record or one cluster have nothing to find
+            labels = label[at]
+            open_ = (size > 1) & (np.minimum.reduceat(labels, begin) != np.maximum.reduceat(labels, begin)) if len(begin) else np.zeros(0, bool)
+            if not open_.any():
                 continue
-            rows = record[own]
-            columns = np.ascontiguousarray(short[rows].T)
-            row_labels = label[rows]
-            base = (bucket[own].astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(8 * WIDTH)
-            bits = np.uint64(int(len(own)).bit_length())
-            place = np.arange(len(own), dtype=np.uint64)
-            for k in range(INNER):
-                mixed = base
-                for j, column in enumerate(inner[t, k]):
-                    mixed = mixed | columns[column].astype(np.uint64) << np.uint64(8 * j)
-                # sorted together with the places, which is quicker than sorting places
-                mixed = np.sort(mixed << bits | place)
-                at = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                mixed >>= bits
-                begin = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1]))
-                size = np.diff(np.append(begin, len(mixed)))
-                # groups of one record or one cluster have nothing to find
-                labels = row_labels[at]
-                open_ = (size > 1) & (np.minimum.reduceat(labels, begin) != np.maximum.reduceat(labels, begin))
-                if not open_.any():
+            keep = np.repeat(open_, size)
+            row, group = at[keep], np.repeat(np.cumsum(open_), size)[keep]
+            shuffled = (key[row].view(np.uint64) * _MIX) ^ np.uint64((k + 1) * 0x51ED270B)
+            a, b, large = _within(group, shuffled)
+            a, b = row[a], row[b]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            alike = verified(a, b)
+            a, b = a[alike], b[alike]
+            link(a, b, cosines(a, b))
+            # of each large group the records outside its largest cluster, with all of the group
+            for members in large:
+                members = row[members]
+                _, own, sizes = np.unique(label[members], return_inverse=True, return_counts=True)
+                outside = members[own != sizes.argmax()]
+                if not len(outside):
                     continue
-                keep = np.repeat(open_, size)
-                row, group = rows[at[keep]], np.repeat(np.cumsum(open_), size)[keep]
-                shuffled = (key[row].view(np.uint64) * _MIX) ^ np.uint64((t * INNER + k) * 0x51ED270B)
-                a, b, large = _within(group, shuffled)
-                a, b = row[a], row[b]
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-                link(a, b, cosines(a, b))
-                # of each large group the records outside its largest cluster, with all of the group
-                for members in large:
-                    members = row[members]
-                    _, own, sizes = np.unique(label[members], return_inverse=True, return_counts=True)
-                    outside = members[own != sizes.argmax()]
-                    if not len(outside):
-                        continue
-                    for i in range(0, len(members), BLOCK):
-                        y = members[i : i + BLOCK]
-                        vectors = small[y].astype(np.float32).T * scale[y]
-                        for j in range(0, len(outside), BLOCK):
-                            x = outside[j : j + BLOCK]
-                            c = (small[x].astype(np.float32) * scale[x, None]) @ vectors
-                            at_x, at_y = np.nonzero((c >= least - error[x, None] - error[y]) & (label[x, None] != label[y]))
-                            link(x[at_x], y[at_y], c[at_x, at_y])
-                row_labels = label[rows]
+                for i in range(0, len(members), BLOCK):
+                    y = members[i : i + BLOCK]
+                    vectors = small[y].astype(np.float32).T * scale[y]
+                    for j in range(0, len(outside), BLOCK):
+                        x = outside[j : j + BLOCK]
+                        c = (small[x].astype(np.float32) * scale[x, None]) @ vectors
+                        at_x, at_y = np.nonzero((c >= least - error[x, None] - error[y]) & (label[x, None] != label[y]))
+                        alike = verified(x[at_x], y[at_y])
+                        at_x, at_y = at_x[alike], at_y[alike]
+                        link(x[at_x], y[at_y], c[at_x, at_y])
         pair = np.unique(np.concatenate(unsure)) if unsure else np.zeros(0, np.uint64)
         a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         apart = label[a] != label[b]
@@ -281,14 +366,12 @@ def _merge(reports: DataFrame) -> DataFrame:
     return out.groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "key")
 
 
-def _labels(rows: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
+def _labels(rows: DataFrame, dim: int, least: float, jaccard: float, part_rows: int) -> tuple[DataFrame, DataFrame]:
     """((key, label) of the clusters of two keys and more, (key, id, vector) of all usable rows)."""
-    n = rows.count()
-    # up to RECORDS rows, a part may hold them all
-    parts = 6 if n <= RECORDS else max(6, n * BANDS // RECORDS)
     scheme = Scheme(dim)
-    packed = rows.select("__vec").mapInArrow(_emit(scheme, dim, parts), "part int, blob binary")
-    reports = durable(packed.groupBy("part").applyInPandas(_meet(scheme.inner, dim, least), "a bigint, b bigint, sure boolean"))
+    vectors = rows.select("__vec")
+    packed = vectors.mapInArrow(_emit(scheme, _layout(vectors, scheme, dim, part_rows), dim), "part bigint, band int, blob binary")
+    reports = written(packed.groupBy("part").applyInPandas(_meet(scheme, dim, least, jaccard), "a bigint, b bigint, sure boolean"))
     labels = durable(_merge(reports.where("sure").select("a", "b")))
     unsure = reports.where("NOT sure").select("a", "b").distinct()
     la, lb = labels.select(F.col("key").alias("a"), F.col("label").alias("la")), labels.select(F.col("key").alias("b"), F.col("label").alias("lb"))
@@ -305,15 +388,16 @@ def _labels(rows: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFra
     return labels, m
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, least_size: int = 3) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, least_size: int = 3, jaccard: float = LEAST_JACCARD, part_rows: int = PART_ROWS) -> DataFrame:
     """(cluster_id, id, size) of every row in a cluster of ``least_size`` rows or more; ``cluster_id`` is the smallest id in it.
 
     Two rows are in one cluster if their vectors' cosine is at least ``least`` or a chain of such pairs joins them. Rows
     count if their vectors have ``dim`` finite elements that aren't all zero; rows with the same id are one row, rows without
-    id none; ids must be strings. Approximate: a link is missed where two sets share no band, or in no shared band an inner one. Other columns aren't read.
+    id none; ids must be strings. Approximate: a link is missed where two sets share no band, or in no shared band an inner one, or where their Jaccard similarity is below
+    ``jaccard``. ``part_rows`` bounds the records of a task and changes no result. Other columns aren't read.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
-    labels, m = _labels(rows, dim, least)
+    labels, m = _labels(rows, dim, least, jaccard, part_rows)
     ids = m.select("key", "id").distinct().join(labels, "key", "left").select("id", F.coalesce("label", "key").alias("label"))
     sizes = ids.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least_size)
     return join_on_key(ids, sizes, "label", "inner").select("cluster_id", "id", "size")

@@ -7,7 +7,7 @@ the cosine that defines a link. Linked records are joined within each task first
 report give the clusters.
 
 A record is sent once for each band, as 8-bit vector, whatever the number of records; sets and inner MinHashes are worked out again in the task. The buckets of a band
-are spread over parts of about PART_ROWS records by their exact counts; a bucket with more is cut into blocks, and every two of its blocks meet in a part
+are spread over parts of about PART_ROWS records by their exact counts; one with more than BUCKET_ROWS is cut into blocks, and every two of its blocks meet in a part
 of their own, so a part is bounded and no pair is left out. The inner bands widen with the part, so that candidates per record don't grow.
 
 8-bit vectors have a bounded error: only links within that bound of the threshold, and only if they join different clusters, are
@@ -35,15 +35,17 @@ from lorekeep.session import durable, written
 COORDINATES = 256
 BANDS, WIDTH, VALUES = 12, 3, 64
 #: Inner bands of WIDTH values; of one value more, each time FURTHER times as many, which keeps the recall.
-INNER, FURTHER = 96, 3.2
+INNER, FURTHER = 72, 3.4
 #: A candidate's least Jaccard similarity. At a cosine of 0.75 fewer than one pair in 10,000 has less (mean 0.37, standard deviation 0.04).
 LEAST_JACCARD = 0.2
-#: Groups up to this size are compared pair by pair.
-SMALL = 48
+#: Groups up to the last size are compared as a whole, together with others of about the same size.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Larger groups are compared in blocks of as many records.
 BLOCK = 2048
-#: Records that one task gets, about.
-PART_ROWS = 120_000
+#: Up to as many records in a task WIDTH values are enough; one more for each 16 times as many.
+NARROW_ROWS = 150_000
+#: Small buckets share parts of about PART_ROWS records; buckets of more than BUCKET_ROWS are cut into blocks.
+PART_ROWS, BUCKET_ROWS = 120_000, 600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +82,7 @@ class Scheme:
 
     def inner(self, rows: int) -> np.ndarray:
         """The values of each inner band, for a part of as many rows: the width grows with their logarithm."""
-        wider = max(0, int(np.ceil(np.log(max(rows, 1) / 2**18) / np.log(16))))
+        wider = max(0, int(np.ceil(np.log(max(rows, 1) / NARROW_ROWS) / np.log(16))))
         rng = np.random.default_rng(13)
         return np.stack([rng.choice(VALUES, WIDTH + wider, replace=False) for _ in range(int(INNER * FURTHER**wider))])
 
@@ -88,9 +90,9 @@ class Scheme:
 class Layout:
     """Where the buckets of each band go: ``first`` part and number of ``blocks`` of each; of several blocks, every two share a part."""
 
-    def __init__(self, counts: np.ndarray, part_rows: int):
+    def __init__(self, counts: np.ndarray, part_rows: int, bucket_rows: int):
         self.first = np.zeros(counts.shape, np.int64)
-        self.blocks = np.maximum(1, -(-counts // part_rows))
+        self.blocks = np.maximum(1, -(-counts // bucket_rows))
         self.parts = 0
         for band in range(len(counts)):
             room = 0
@@ -101,7 +103,7 @@ class Layout:
                     self.parts += b * (b + 1) // 2
                     continue
                 if n > room:
-                    room, self.parts = part_rows, self.parts + 1
+                    room, self.parts = max(part_rows, n), self.parts + 1
                 self.first[band, value] = self.parts - 1
                 room -= n
 
@@ -164,12 +166,12 @@ def _count(scheme: Scheme, dim: int):
     return run
 
 
-def _layout(vectors: DataFrame, scheme: Scheme, dim: int, part_rows: int) -> Layout:
+def _layout(vectors: DataFrame, scheme: Scheme, dim: int, bucket_rows: int) -> Layout:
     """The parts, from exact counts of all buckets: BANDS times the number of tokens at most, whatever the collection."""
     counts = np.zeros((BANDS, scheme.universe), np.int64)
     for r in vectors.mapInArrow(_count(scheme, dim), "band int, value int, n bigint").groupBy("band", "value").agg(F.sum("n").alias("n")).collect():
         counts[r["band"], r["value"]] = r["n"]
-    return Layout(counts, part_rows)
+    return Layout(counts, min(PART_ROWS, bucket_rows), bucket_rows)
 
 
 def _emit(scheme: Scheme, layout: Layout, dim: int):
@@ -208,23 +210,6 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _within(group: np.ndarray, shuffled: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Pairs to look at: all of a small group's, in a large one each record with the first; and the records of each large group."""
-    order = np.lexsort((shuffled, group))
-    g = group[order]
-    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    size = np.diff(np.append(begin, len(g)))
-    # later members of the same small group
-    at = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-    n = np.repeat(begin + size, size)[at] - at - 1
-    a = np.repeat(at, n)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
-    large = size > SMALL
-    leader = np.repeat(order[begin], size)
-    rest = np.repeat(large, size) & (leader != order)
-    return np.append(order[a], leader[rest]), np.append(order[b], order[rest]), [order[i : i + m] for i, m in zip(begin[large].tolist(), size[large].tolist())]
-
-
 def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         band = int(pdf["band"].iloc[0])
@@ -272,9 +257,11 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
                 to[nodes] = nodes[components(len(nodes), index[:half], index[half:])]
                 label = to[label]
 
+        low = np.float32(least - 2 * error.max(initial=0))
+        later = np.triu(np.ones((SIZES[-1], SIZES[-1]), bool), 1)
         bits = np.uint64(int(len(key)).bit_length())
         place = np.arange(len(key), dtype=np.uint64)
-        for k, columns in enumerate(scheme.inner(len(key))):
+        for t, columns in enumerate(scheme.inner(len(key))):
             mixed = value.astype(np.uint64)
             for column in columns:
                 mixed = mixed << np.uint64(8) | values[column]
@@ -289,19 +276,35 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
             open_ = (size > 1) & (np.minimum.reduceat(labels, begin) != np.maximum.reduceat(labels, begin)) if len(begin) else np.zeros(0, bool)
             if not open_.any():
                 continue
-            keep = np.repeat(open_, size)
-            row, group = at[keep], np.repeat(np.cumsum(open_), size)[keep]
-            shuffled = (key[row].view(np.uint64) * _MIX) ^ np.uint64((k + 1) * 0x51ED270B)
-            a, b, large = _within(group, shuffled)
-            a, b = row[a], row[b]
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            alike = verified(a, b)
-            a, b = a[alike], b[alike]
-            link(a, b, cosines(a, b))
-            # of each large group the records outside its largest cluster, with all of the group
+            # a group's pairs from one product of matrices, many groups of about one size at once
+            for most, fewer in zip(SIZES[1:], SIZES):
+                own = np.flatnonzero(open_ & (size <= most) & (size > fewer))
+                step = max(1, (1 << 23) // (most * (dim + most)))
+                for i in range(0, len(own), step):
+                    part = own[i : i + step]
+                    inside = np.arange(most) < size[part, None]
+                    members = at[np.where(inside, begin[part, None] + np.arange(most), begin[part, None])]
+                    x = small[members].astype(np.float32)
+                    x *= scale[members][:, :, None]
+                    c = np.matmul(x, x.transpose(0, 2, 1))
+                    near = c >= low
+                    near &= later[:most, :most]
+                    hit = np.flatnonzero(near)
+                    g, j, k = hit // most**2, hit // most % most, hit % most
+                    a, b = members[g, j], members[g, k]
+                    real = inside[g, k] & (label[a] != label[b])
+                    a, b, found = a[real], b[real], c.ravel()[hit[real]]
+                    alike = verified(a, b)
+                    link(a[alike], b[alike], found[alike])
+            wide = np.flatnonzero(open_ & (size > SIZES[-1]))
+            large = [at[i : i + m] for i, m in zip(begin[wide].tolist(), size[wide].tolist())]
             for members in large:
-                members = row[members]
+                # the first by a hash that differs with the inner band
+                leader = members[((key[members].view(np.uint64) * _MIX) ^ np.uint64((t + 1) * 0x51ED270B)).argmin()]
+                b = members[label[members] != label[leader]]
+                b = b[verified(np.full(len(b), leader), b)]
+                link(np.full(len(b), leader), b, cosines(np.full(len(b), leader), b))
+                # then the records outside the largest cluster with all of the group
                 _, own, sizes = np.unique(label[members], return_inverse=True, return_counts=True)
                 outside = members[own != sizes.argmax()]
                 if not len(outside):
@@ -366,11 +369,11 @@ def _merge(reports: DataFrame) -> DataFrame:
     return out.groupBy("a").agg(F.min("label").alias("label")).withColumnRenamed("a", "key")
 
 
-def _labels(rows: DataFrame, dim: int, least: float, jaccard: float, part_rows: int) -> tuple[DataFrame, DataFrame]:
+def _labels(rows: DataFrame, dim: int, least: float, jaccard: float, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
     """((key, label) of the clusters of two keys and more, (key, id, vector) of all usable rows)."""
     scheme = Scheme(dim)
     vectors = rows.select("__vec")
-    packed = vectors.mapInArrow(_emit(scheme, _layout(vectors, scheme, dim, part_rows), dim), "part bigint, band int, blob binary")
+    packed = vectors.mapInArrow(_emit(scheme, _layout(vectors, scheme, dim, bucket_rows), dim), "part bigint, band int, blob binary")
     reports = written(packed.groupBy("part").applyInPandas(_meet(scheme, dim, least, jaccard), "a bigint, b bigint, sure boolean"))
     labels = durable(_merge(reports.where("sure").select("a", "b")))
     unsure = reports.where("NOT sure").select("a", "b").distinct()
@@ -388,16 +391,16 @@ def _labels(rows: DataFrame, dim: int, least: float, jaccard: float, part_rows:
     return labels, m
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, least_size: int = 3, jaccard: float = LEAST_JACCARD, part_rows: int = PART_ROWS) -> DataFrame:
+def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, least_size: int = 3, jaccard: float = LEAST_JACCARD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(cluster_id, id, size) of every row in a cluster of ``least_size`` rows or more; ``cluster_id`` is the smallest id in it.
 
     Two rows are in one cluster if their vectors' cosine is at least ``least`` or a chain of such pairs joins them. Rows
     count if their vectors have ``dim`` finite elements that aren't all zero; rows with the same id are one row, rows without
     id none; ids must be strings. Approximate: a link is missed where two sets share no band, or in no shared band an inner one, or where their Jaccard similarity is below
-    ``jaccard``. ``part_rows`` bounds the records of a task and changes no result. Other columns aren't read.
+    ``jaccard``. ``bucket_rows`` bounds the records of a task and changes no result. Other columns aren't read.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
-    labels, m = _labels(rows, dim, least, jaccard, part_rows)
+    labels, m = _labels(rows, dim, least, jaccard, bucket_rows)
     ids = m.select("key", "id").distinct().join(labels, "key", "left").select("id", F.coalesce("label", "key").alias("label"))
     sizes = ids.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least_size)
     return join_on_key(ids, sizes, "label", "inner").select("cluster_id", "id", "size")

@@ -8,6 +8,7 @@ from lorekeep.llm import clusters
 
 def test_a_dense_group_keeps_a_record_that_only_one_member_links(monkeypatch):
     monkeypatch.setattr(clusters, "INNER", 1)
+    monkeypatch.setattr(clusters, "SIZES", (1, 2, 3))
     dim, n = 64, 62
     x = np.full((n, dim), 0.001)
     x[:, 0] = 1
@@ -35,9 +36,9 @@ def test_recall_at_the_threshold():
     x, y = scheme.tokens(a.astype(np.float32)), scheme.tokens(b.astype(np.float32))
     same = scheme.bands(x) == scheme.bands(y)
     values = [(scheme.values(x, t) == scheme.values(y, t)).T for t in range(clusters.BANDS)]
-    for rows in (1000, 2**22):  # the recall stays where the inner bands widen
+    for rows in (1000, 200_000, 2_000_000):  # the recall stays where the inner bands widen
         met = np.any([same[:, t] & values[t][:, scheme.inner(rows)].all(2).any(1) for t in range(clusters.BANDS)], axis=0)
-        assert met.mean() >= 0.98
+        assert met.mean() >= 0.975
     common = np.bitwise_count(scheme.bitmaps(x) & scheme.bitmaps(y)).sum(1)
     assert (common / (2 * scheme.size - common) >= clusters.LEAST_JACCARD).mean() >= 0.999
 
@@ -47,7 +48,7 @@ def test_every_two_records_of_a_bucket_share_a_part_and_parts_are_bounded():
     n, limit = 5000, 300
     key, bands = rng.integers(0, 2**63, n), np.minimum(rng.geometric(0.2, (n, 3)) - 1, 19)  # the largest bucket holds a fifth
     counts = np.stack([np.bincount(bands[:, t], minlength=20) for t in range(3)])
-    layout = clusters.Layout(counts, limit)
+    layout = clusters.Layout(counts, limit, limit)
     record, band, part = layout.parts_of(bands, key)
     assert part.max() + 1 == layout.parts and np.bincount(part).max() <= 2.3 * limit
     held: dict = {}
@@ -63,5 +64,5 @@ def test_parts_change_no_result(spark):
     centres = rng.standard_normal((30, 32))
     rows = [(f"r{k:04d}", [float(v) for v in centres[k % 30] + 0.4 * rng.standard_normal(32)]) for k in range(900)]
     df = spark.createDataFrame(rows, "id string, v array<float>")
-    got = [sorted(map(tuple, clusters.similarity_clusters(df, "id", "v", 32, 0.75, part_rows=n).collect())) for n in (100_000, 50)]
+    got = [sorted(map(tuple, clusters.similarity_clusters(df, "id", "v", 32, 0.75, bucket_rows=n).collect())) for n in (100_000, 50)]
     assert got[0] == got[1] and got[0]

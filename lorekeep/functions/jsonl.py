@@ -60,3 +60,22 @@ def text_paths(content: Column, root: str = "/work/") -> Column:
     """Paths under ``root`` that a text names, without closing punctuation."""
     found = F.regexp_extract_all(content, F.lit(rf"({root}[A-Za-z0-9_./-]+)"))
     return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"[.:;]+$", "")))
+
+
+def named_paths(content: Column, root: str = "/work/") -> Column:
+    """Absolute paths that are values of a path's JSON keys in a text, and what :func:`text_paths` finds."""
+    keyed = F.regexp_extract_all(content, F.lit(r'"(?:file_path|path|file|notebook_path)"\s*:\s*"(/[^"]+)"'))
+    return F.array_union(F.transform(keyed, lambda p: F.regexp_replace(p, r"[.:;]+$", "")), text_paths(content, root))
+
+
+def snapshot_paths(content: Column) -> Column:
+    """Absolute paths among the keys of a file snapshot's backups."""
+    kept = F.from_json(content, "snapshot struct<trackedFileBackups: map<string, string>>")["snapshot"]["trackedFileBackups"]
+    return F.filter(F.map_keys(kept), lambda p: p.startswith("/"))
+
+
+def line_paths(kind: Column, line_no: Column, content: Column) -> Column:
+    """The paths of a log's line: a snapshot's in the first line, else those of tool calls, else those that its text names."""
+    calls = F.coalesce(tool_paths(content), F.array().cast("array<string>"))
+    told = F.when(F.size(calls) > 0, calls).otherwise(named_paths(content))
+    return F.coalesce(F.when((line_no == 1) & (kind == "file-history-snapshot"), snapshot_paths(content)).otherwise(told), F.array().cast("array<string>"))

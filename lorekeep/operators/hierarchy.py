@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.operators.skew import if_small
+from lorekeep.session import written
+
 #: Rounds that follow parents; a deeper forest is refused.
 DEEPEST = 64
 
@@ -14,18 +17,19 @@ def ancestors(projects: DataFrame) -> DataFrame:
     """(full_path, ancestor, depth): every project with itself (0) and all projects above it.
 
     Follows ``parent_project`` level by level; a parent that doesn't exist ends the way, and so does one that was passed
-    already, so that cycles end. One small join per level, not one per project.
+    already, so that cycles end. One small join per level, not one per project; every level is written down, so none is worked out twice.
     """
     links = projects.select("full_path", "parent_project").distinct()
     known = links.select(F.col("full_path").alias("ancestor"), F.col("parent_project").alias("next"))
     level = links.select("full_path", F.col("full_path").alias("ancestor"), F.lit(0).alias("depth"), F.array("full_path").alias("way"), F.col("parent_project").alias("up"))
     out = None
     for _ in range(DEEPEST):
+        level = written(level)
+        if not level.limit(1).count():
+            return out.groupBy("full_path", "ancestor").agg(F.min("depth").alias("depth")) if out is not None else level.select("full_path", "ancestor", "depth")
         out = level.select("full_path", "ancestor", "depth") if out is None else out.unionByName(level.select("full_path", "ancestor", "depth"))
         above = level.where("up IS NOT NULL AND NOT array_contains(way, up)").join(known.withColumnRenamed("ancestor", "up"), "up")
         level = above.select("full_path", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("up")).alias("way"), F.col("next").alias("up"))
-        if not level.limit(1).count():
-            return out.groupBy("full_path", "ancestor").agg(F.min("depth").alias("depth"))
     raise ValueError(f"the forest is deeper than {DEEPEST} levels")
 
 
@@ -61,7 +65,7 @@ def nearest(paths: DataFrame, projects: DataFrame, path_col: str, itself: bool =
 
 def rolled_up(counts: DataFrame, projects: DataFrame) -> DataFrame:
     """(root, n): counts by ``project_path`` added up at the topmost project; unknown paths stand for themselves."""
-    r = F.broadcast(roots(projects).withColumnRenamed("full_path", "project_path"))
+    r = if_small(roots(projects).withColumnRenamed("full_path", "project_path"))
     return counts.join(r, "project_path", "left").groupBy(F.coalesce("root", "project_path").alias("root")).agg(F.sum("n").alias("n"))
 
 

@@ -6,6 +6,8 @@ means no scope) and an explicit ``now`` in milliseconds.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +17,11 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import decay, evergreen, word_set
 from lorekeep.functions.vectors import cosine
 from lorekeep.operators import bm25
+from lorekeep.operators.skew import if_small
+from lorekeep.session import shared_dir, written
+
+#: Most questions whose vectors and families are broadcast.
+QUESTIONS = 20_000
 
 
 def by_query() -> WindowSpec:
@@ -37,12 +44,18 @@ def ranked(df: DataFrame, k: int, score: str = "score", tie: str = "id") -> Data
     return df.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, chunks: DataFrame, tokens: DataFrame, now: int, limit: int = 10) -> DataFrame:
+def clamped(limit: int, most: int = 50) -> int:
+    """A limit that a caller asks for, between 1 and ``most``."""
+    return max(1, min(most, limit))
+
+
+def search(questions: DataFrame, chunks: DataFrame, tokens: DataFrame, now: int, limit: int = 10, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, id, path, project_path, text, score, rank): BM25's ``3 * limit`` best chunks, cut to the scope, scored by
     0.7 cosine + 0.3 normalised BM25 and by age (evergreen files don't age). The scope is applied after the cut, so fewer may remain.
     """
-    hits = bm25.top(bm25.scores(questions, tokens), 3 * limit)
-    c = hits.withColumnRenamed("doc_id", "id").join(chunks, "id").join(F.broadcast(questions.select("query_id", F.col("embedding").alias("asked"), "family")), "query_id")
+    limit = clamped(limit)
+    hits = bm25.top(bm25.scores(questions, tokens), 3 * limit) if hits is None else hits
+    c = hits.withColumnRenamed("doc_id", "id").join(chunks, "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
     c = c.where(in_family(F.col("project_path"), F.col("family")) | F.col("project_path").isNull())
     c = c.withColumn("lexical", normalised(F.col("bm25"), 1.0))
     age = F.when(evergreen(F.col("path")), F.lit(1.0)).otherwise(decay(F.col("updated_at"), now))
@@ -58,6 +71,23 @@ def recent_by_vector(questions: DataFrame, chunks: DataFrame, now: int, limit: i
     return ranked(c.select("query_id", "id", "path", F.round(cosine(F.col("embedding"), F.col("asked")) * age, 9).alias("score")), limit)
 
 
+def search_or_recent(questions: DataFrame, chunks: DataFrame, tokens: DataFrame, now: int, limit: int = 10) -> DataFrame:
+    """(query_id, id, path, score, rank): the search of every question that has a lexical hit, and :func:`recent_by_vector` for the others."""
+    limit = clamped(limit)
+    hits = written(bm25.top(bm25.scores(questions, tokens), 3 * limit))
+    found = search(questions, chunks, tokens, now, limit, hits).where(F.col("rank") <= limit)
+    others = questions.join(if_small(hits.select("query_id").distinct()), "query_id", "left_anti")
+    return found.select("query_id", "id", "path", "score", "rank").unionByName(recent_by_vector(others, chunks, now, limit))
+
+
+def recollections(questions: DataFrame, episodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, id, similarity, rank), as JSON files in a folder for each question in the shared folder: rank fusion, cut by similarity. A question that finds nothing has no folder."""
+    found = fused(questions, episodes, tokens).select("query_id", "id", "similarity", "rank")
+    path = f"{shared_dir(questions.sparkSession)}/recollections-{uuid.uuid4().hex}"
+    found.repartition("query_id").write.partitionBy("query_id").json(path)
+    return questions.sparkSession.read.schema(found.schema).json(path).select(found.columns)
+
+
 def diversified(results: DataFrame, limit: int = 10, balance: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over the at most 150 results of each question: (query_id, id, score, rank).
 
@@ -90,11 +120,12 @@ def recall(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, now: in
 
     0.5 relevance (0.7 cosine + 0.3 normalised BM25, at least 0.3 for important ones) + 0.3 age + 0.2 use.
     """
+    limit = clamped(limit)
     hits = bm25.top(bm25.scores(questions, tokens), 3 * limit).withColumnRenamed("doc_id", "id")
     newest = episodes.where("embedding IS NOT NULL").orderBy(F.col("created_at").desc(), "id").limit(3 * limit).select("id")
     pool = questions.select("query_id").crossJoin(F.broadcast(newest)).withColumn("bm25", F.lit(None).cast("double"))
     both = hits.select("query_id", "id", "bm25").unionByName(pool).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
-    c = both.join(episodes, "id").join(F.broadcast(questions.select("query_id", F.col("embedding").alias("asked"), "family")), "query_id")
+    c = both.join(episodes, "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
     c = c.where((F.col("scope") == "global") | in_family(F.col("project_path"), F.col("family")))
     relevance = 0.7 * cosine(F.col("embedding"), F.col("asked")) + 0.3 * F.coalesce(F.col("lexical"), F.lit(0.0))
     relevance = F.when(F.col("importance") == "high", F.greatest(relevance, F.lit(0.3))).otherwise(relevance)
@@ -113,7 +144,7 @@ def fused(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, pool: in
     latest = episodes.where("embedding IS NOT NULL").orderBy(F.col("accessed_at").desc(), "id").limit(pool).select("id")
     pairs = questions.select("query_id").crossJoin(F.broadcast(latest)).withColumn("bm25", F.lit(None).cast("double"))
     both = lexical.unionByName(pairs).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
-    c = both.join(episodes.where("embedding IS NOT NULL"), "id").join(F.broadcast(questions.select("query_id", F.col("embedding").alias("asked"))), "query_id")
+    c = both.join(episodes.where("embedding IS NOT NULL"), "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked")), QUESTIONS), "query_id")
     c = c.select("query_id", "id", "bm25", "importance", "created_at", "access_count", cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
     rank = lambda *o: F.rank().over(by_query().orderBy(*o))
     c = c.withColumns({

@@ -24,6 +24,15 @@ TRACKED = 16_384
 MERGED_BY = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.sum}
 
 
+#: Most rows that are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
     """The keys that may hold at least ``share`` of the rows: at most ``2 / share`` values. Null is never listed."""
     k = int(2 / share)
@@ -88,7 +97,7 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], n: int, salts: int
     heavy, rest = _split(rows, key, share)
     out = cut(rest, key)
     if heavy is not None:
-        salted = heavy.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in heavy.columns if c != key][:4]), F.lit(salts)))
+        salted = heavy.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in heavy.columns if c != key]), F.lit(salts)))
         out = out.unionByName(cut(cut(salted, key, "__salt").drop("rank"), key).drop("__salt"))
     return out
 

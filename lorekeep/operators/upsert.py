@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4_096
 
 
-def replaced(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The store with all rows of the keys in ``new`` replaced by ``new``."""
-    return store.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def replaced(store: DataFrame, new: DataFrame, key: str, instead: DataFrame | None = None) -> DataFrame:
+    """The store with all rows of the keys in ``new`` replaced by ``new``, or by the rows ``instead``."""
+    return store.join(new.select(key).distinct(), key, "left_anti").unionByName(new if instead is None else instead)
 
 
 def merged(store: DataFrame, new: DataFrame, key: str, overwrite: list[str], keep: list[str]) -> DataFrame:
@@ -86,6 +86,28 @@ def decided(candidates: DataFrame, matches: DataFrame, above: float = 0.92) -> D
     return c.select("id", F.when(hit, "update").otherwise("add").alias("action"), F.when(hit, F.col("match")).alias("target"), "similarity")
 
 
+def applied(candidates: DataFrame, store: DataFrame, decisions: DataFrame, order: list[str]) -> DataFrame:
+    """(id, scope, summary, full_content, access_count, importance, n_updates) of the rows that a batch changes or adds, as :func:`decided`.
+
+    Candidates with one target are applied in ``order``, each as :func:`updated` says; every one counts as a use, and the last gives the
+    importance. An added row has no uses.
+    """
+    c = candidates.select("id", *[x for x in order if x != "id"], "scope", "summary", "full_content", "importance").join(decisions.select("id", "target"), "id")
+    c_of = F.struct(*order, "summary", "full_content", "importance")
+    steps = c.where("target IS NOT NULL").groupBy("target").agg(F.sort_array(F.collect_list(c_of)).alias("steps"))
+
+    def step(row: Column, new: Column) -> Column:
+        summary, content = updated(row["summary"], new["summary"], row["content"], new["full_content"])
+        return F.struct(summary.alias("summary"), content.alias("content"))
+
+    s = store.withColumnRenamed("id", "target").select("target", "scope", "summary", "full_content", "access_count").join(steps, "target")
+    s = s.withColumn("row", F.aggregate("steps", F.struct("summary", F.col("full_content").alias("content")), step))
+    n = F.size("steps").cast("bigint")
+    changed = s.select(F.col("target").alias("id"), "scope", "row.summary", F.col("row.content").alias("full_content"), (F.col("access_count") + n).cast("bigint").alias("access_count"), F.element_at("steps", -1)["importance"].alias("importance"), n.alias("n_updates"))
+    zero = F.lit(0).cast("bigint")
+    return changed.unionByName(c.where("target IS NULL").select("id", "scope", "summary", "full_content", zero.alias("access_count"), "importance", zero.alias("n_updates")))
+
+
 def updated(old_summary: Column, new_summary: Column, old_content: Column, new_content: Column) -> tuple[Column, Column]:
     """(summary, content) of a row after an update: summaries joined unless that exceeds 500 characters, contents joined and cut to the last 4,000."""
     both = F.concat(old_summary, F.lit(" | "), new_summary)

@@ -5,12 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType, TimestampType
+
+#: Parts that a group is first cut in.
+SALTS = 32
 
 
 def within_budget(df: DataFrame, group: str, newest_first: list[Column], size: Column, budget: int) -> DataFrame:
-    """The rows of each group, newest first, until their sizes reach ``budget``: a row stays if those before it are below."""
-    before = F.sum(size).over(W.partitionBy(group).orderBy(*newest_first).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < budget).drop("__before")
+    """The rows of each group, newest first, until their sizes reach ``budget``: a row stays if those before it are below.
+
+    Each group is first cut within SALTS parts of it, which drops only rows that are beyond the budget there already, so that no
+    task sorts a whole large group.
+    """
+    salt = F.pmod(F.xxhash64(*_plain_columns(df)), F.lit(SALTS)).alias("__salt")
+
+    def cut(rows: DataFrame, *by: str) -> DataFrame:
+        before = F.sum("__size").over(W.partitionBy(*by).orderBy(*newest_first).rowsBetween(W.unboundedPreceding, -1))
+        return rows.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < budget).drop("__before")
+
+    rows = df.select("*", size.alias("__size"), salt)
+    return cut(cut(rows, group, "__salt"), group).drop("__size", "__salt")
+
+
+def _plain_columns(df: DataFrame) -> list[str]:
+    """The columns of plain types, whose hashes spread rows."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, NumericType, TimestampType))]
+
+
+def with_previous(df: DataFrame, group: str, block: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """Each row with the value of the row before it in its group's order, null for the first.
+
+    Rows are ordered within blocks of each group; ``block`` must not fall along ``order``. What a block carries over to the next is one row, so
+    that a group of any size is never sorted as a whole.
+    """
+    rows = df.withColumn("__block", block)
+    within = W.partitionBy(group, "__block").orderBy(*order)
+    last = rows.groupBy(group, "__block").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(W.partitionBy(group).orderBy("__block"))).drop("__last")
+    first = F.row_number().over(within) == 1
+    rows = rows.select("*", F.lag(value).over(within).alias("__within"), first.alias("__first")).join(carried, [group, "__block"])
+    return rows.withColumn(out, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__within"))).drop("__block", "__within", "__first", "__carried")
 
 
 def majority(df: DataFrame, group: str, value: str, order: Column) -> DataFrame:

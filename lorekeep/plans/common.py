@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import query_terms, tokens
 from lorekeep.operators import hierarchy
+from lorekeep.session import written
 from lorekeep.sources.tables import one_per_id, table
 
 NOW = 1735689600000
@@ -31,13 +32,13 @@ def episode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes(spark, sf_dir, "summary", "entities").select(F.col("id").alias("doc_id"), both.alias("tokens"))
 
 
-def questions(spark: SparkSession, sf_dir: str, stop_words: bool = False, most: int | None = None) -> DataFrame:
-    """One question for each described project: its description; its vector is that of the project's first episode that has one."""
-    p = table(spark, sf_dir, "projects").where("description <> ''")
+def questions(spark: SparkSession, sf_dir: str, stop_words: bool = False, most: int | None = None, every: bool = False) -> DataFrame:
+    """One question for each described project (or for ``every`` project): its description; its vector is that of the project's first episode that has one."""
+    p = table(spark, sf_dir, "projects").where("true" if every else "description <> ''")
     first = episodes(spark, sf_dir, "project_path", "created_at", "embedding").where(F.size("embedding") == 128)
     first = first.groupBy("project_path").agg(F.min_by("embedding", F.struct("created_at", "id")).alias("embedding"))
     q = p.join(first, F.col("full_path") == F.col("project_path"), "left").join(hierarchy.families(table(spark, sf_dir, "projects")), "name", "left")
-    return q.select(F.col("full_path").alias("query_id"), query_terms(F.col("description"), stop_words, most).alias("terms"), "embedding", "family")
+    return written(q.select(F.col("full_path").alias("query_id"), query_terms(F.col("description"), stop_words, most).alias("terms"), "embedding", "family"))
 
 
 #: The same as CTEs.
@@ -51,14 +52,18 @@ UP = """up AS (SELECT full_path, full_path AS ancestor, 0 AS depth, parent_proje
   SELECT up.full_path, p.full_path, up.depth + 1, p.parent_project FROM up JOIN projects p ON p.full_path = up.next WHERE up.depth < 20)"""
 
 
-def questions_sql(stop_words: list[str] | None = None, most: int | None = None) -> str:
+def terms_sql(text: str, stop_words: list[str] | None = None, most: int | None = None) -> str:
     drop = ", ".join(f"'{w}'" for w in ["or", "and", "not", "near", *(stop_words or [])])
     cut = f"[1:{most}]" if most else ""
-    return rf"""fam AS (SELECT p.name, list_sort(list(DISTINCT up.full_path)) AS family FROM projects p JOIN up ON up.ancestor = p.full_path GROUP BY 1),
+    return rf"""coalesce(list_filter(list_transform(regexp_split_to_array(regexp_replace({text}, '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+'), lambda x: lower(x)),
+    lambda x: x <> '' AND x NOT IN ({drop})){cut}, [])"""
+
+
+def questions_sql(stop_words: list[str] | None = None, most: int | None = None, every: bool = False) -> str:
+    return f"""fam AS (SELECT p.name, list_sort(list(DISTINCT up.full_path)) AS family FROM projects p JOIN up ON up.ancestor = p.full_path GROUP BY 1),
 f AS (SELECT project_path, arg_min(embedding, (created_at, id)) AS embedding FROM e WHERE len(embedding) = 128 GROUP BY 1),
-q AS (SELECT p.full_path AS query_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(p.description, '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+'), lambda x: lower(x)),
-    lambda x: x <> '' AND x NOT IN ({drop})){cut} AS terms, f.embedding, fam.family
-  FROM projects p LEFT JOIN f ON f.project_path = p.full_path LEFT JOIN fam ON fam.name = p.name WHERE p.description <> '')"""
+q AS (SELECT p.full_path AS query_id, {terms_sql("p.description", stop_words, most)} AS terms, f.embedding, fam.family
+  FROM projects p LEFT JOIN f ON f.project_path = p.full_path LEFT JOIN fam ON fam.name = p.name{"" if every else " WHERE p.description <> ''"})"""
 
 
 def bm25_sql(tokens_of: str) -> str:

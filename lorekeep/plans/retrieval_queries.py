@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import STOP_WORDS, jaccard, word_set
-from lorekeep.operators import bm25, hierarchy, retrieval
-from lorekeep.plans.common import AGED, C, CHUNK_TOKENS, E, EPISODE_TOKENS, NOW, UP, bm25_sql, chunk_tokens, chunks, cosine_sql, episode_tokens, episodes, questions, questions_sql
+from lorekeep.functions.text import STOP_WORDS, jaccard, query_terms, word_set
+from lorekeep.operators import bm25, hierarchy, retrieval, windows
+from lorekeep.operators.skew import top_per_key
+from lorekeep.plans.common import AGED, C, CHUNK_TOKENS, E, EPISODE_TOKENS, NOW, UP, bm25_sql, chunk_tokens, chunks, cosine_sql, episode_tokens, episodes, questions, questions_sql, terms_sql
+from lorekeep.session import written
 from lorekeep.sources.tables import table
 
 
+HOUR_MS = 3_600_000
+
+
 def ir_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 best chunks for each question."""
     found = bm25.top(bm25.scores(questions(spark, sf_dir), chunk_tokens(spark, sf_dir)), 30)
@@ -45,6 +50,30 @@ def ir_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), NOW)
 
 
+def ir_recall_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall with a limit beyond what is allowed: it gives 50 at most."""
+    e = episodes(spark, sf_dir, "scope", "project_path", "importance", "embedding", "created_at", "access_count")
+    return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), NOW, 1000)
+
+
+def ir_search_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for every project; those without a description have no lexical hits and get recent chunks."""
+    c = chunks(spark, sf_dir, "path", "project_path", "text", "embedding", "updated_at")
+    return retrieval.search_or_recent(questions(spark, sf_dir, every=True), c, chunk_tokens(spark, sf_dir), NOW)
+
+
+def ir_recollect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each session's newest episode recollects, if it opens a new topic: the gate, candidates, rank fusion and the similarity bound in one go."""
+    from lorekeep.functions.vectors import cosine
+
+    e = episodes(spark, sf_dir, "session_id", "summary", "importance", "embedding", "created_at", "accessed_at", "access_count")
+    two = top_per_key(e.where("embedding IS NOT NULL").select("session_id", "id", "summary", "embedding", "created_at"), "session_id", [F.col("created_at").desc(), F.col("id").desc()], 2)
+    two = two.groupBy("session_id").agg(F.max(F.when(F.col("rank") == 1, F.col("summary"))).alias("summary"), *[F.max(F.when(F.col("rank") == k, F.col("embedding"))).alias(n) for k, n in ((1, "embedding"), (2, "before"))])
+    new = two.where(F.col("before").isNull() | (cosine(F.col("embedding"), F.col("before")) <= 0.85))
+    q = written(new.select(F.col("session_id").alias("query_id"), query_terms(F.substring("summary", 1, 6000), True, 20).alias("terms"), "embedding"))
+    return retrieval.recollections(q, e, episode_tokens(spark, sf_dir))
+
+
 def ir_recall_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes whose time of last reading recall sets."""
     return retrieval.touched(ir_recall(spark, sf_dir), episodes(spark, sf_dir), NOW)
@@ -67,10 +96,9 @@ def ir_topic_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of a session whose vector is closer than 0.85 to that of the one before (the last that had a vector): no new topic."""
     from lorekeep.functions.vectors import cosine
 
-    e = episodes(spark, sf_dir, "session_id", "created_at", "embedding")
-    before = W.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, -1)
-    e = e.withColumn("previous", F.last("embedding", ignorenulls=True).over(before))
-    e = e.where("embedding IS NOT NULL AND previous IS NOT NULL").select("session_id", "id", cosine(F.col("embedding"), F.col("previous")).alias("similarity"))
+    e = episodes(spark, sf_dir, "session_id", "created_at", "embedding").where("embedding IS NOT NULL")
+    e = windows.with_previous(e, "session_id", F.floor(F.col("created_at") / HOUR_MS), ["created_at", "id"], "embedding", "previous")
+    e = e.where("previous IS NOT NULL").select("session_id", "id", cosine(F.col("embedding"), F.col("previous")).alias("similarity"))
     return e.where("similarity > 0.85")
 
 
@@ -111,35 +139,53 @@ def hier_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.inferred(e.unionByName(t), table(spark, sf_dir, "projects"), "session_id", "path")
 
 
-QUERIES = {f.__name__: f for f in (ir_bm25, ir_search, ir_search_diverse, ir_search_fallback, ir_search_text, ir_recall, ir_recall_touched, ir_fused, ir_word_overlap, ir_topic_change,
+QUERIES = {f.__name__: f for f in (ir_bm25, ir_search, ir_search_diverse, ir_search_fallback, ir_search_text, ir_search_or_recent, ir_recall, ir_recall_most, ir_recall_touched, ir_recollect, ir_fused, ir_word_overlap, ir_topic_change,
                                    hier_ancestors, hier_roots, hier_families, hier_nearest, hier_parents_changed, hier_rollup, hier_inferred)}
 
-_CHUNK = f"WITH RECURSIVE {UP}, {E}, {C}, {questions_sql()}, {bm25_sql(CHUNK_TOKENS)}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS k FROM s) WHERE k <= 30)"
-_SEARCH = f"""{_CHUNK}, x AS (SELECT t.query_id, c.id, c.path, c.text, c.updated_at, bm25, {cosine_sql("c.embedding", "q.embedding")} AS sim FROM t JOIN c ON c.id = t.id JOIN q ON q.query_id = t.query_id
+
+def inferred_sql(g: str) -> str:
+    """What follows a CTE ``p`` of distinct (``g``, path)."""
+    return f"""n AS (SELECT {g}, count(*) AS n_paths FROM p GROUP BY 1),
+v AS (SELECT {g}, project, count(*) AS votes FROM (SELECT {g}, (SELECT arg_max(full_path, length(full_path)) FROM projects x WHERE starts_with(p.path, x.full_path || '/')) AS project FROM p) WHERE project IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT {g}, arg_max(project, (votes, project)) AS project, max(votes) AS votes FROM v GROUP BY 1),
+g AS (SELECT {g}, path, string_split(path, '/') AS s FROM p),
+k AS (SELECT {g}, dir, count(*) AS k FROM (SELECT {g}, path, array_to_string(s[1:unnest(generate_series(2, len(s) - 1))], '/') AS dir FROM g) GROUP BY 1, 2),
+c AS (SELECT k.{g}, arg_max(dir, length(dir)) AS dir FROM k JOIN n ON n.{g} = k.{g} AND k.k = n.n_paths GROUP BY 1),
+h AS (SELECT {g}, (SELECT arg_max(full_path, length(full_path)) FROM projects x WHERE starts_with(c.dir || '/', x.full_path || '/')) AS home FROM c)
+SELECT n.{g}, CASE WHEN n_paths >= 2 THEN coalesce(CASE WHEN len(string_split(home, '/')) > 3 THEN home END, CASE WHEN votes >= n_paths * 0.6 THEN project END) END AS project, n_paths, coalesce(votes, 0) AS votes
+FROM n LEFT JOIN b USING ({g}) LEFT JOIN h USING ({g})"""
+
+
+_TOP = "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS k FROM s) WHERE k <= 30)"
+
+
+def _chunk_sql(every: bool) -> str:
+    return f"WITH RECURSIVE {UP}, {E}, {C}, {questions_sql(every=every)}, {bm25_sql(CHUNK_TOKENS)}, {_TOP}"
+
+
+_CHUNK = _chunk_sql(False)
+_SEARCH_TAIL = f"""x AS (SELECT t.query_id, c.id, c.path, c.text, c.updated_at, bm25, {cosine_sql("c.embedding", "q.embedding")} AS sim FROM t JOIN c ON c.id = t.id JOIN q ON q.query_id = t.query_id
   WHERE c.project_path IS NULL OR q.family IS NULL OR len(q.family) = 0 OR list_contains(q.family, c.project_path)),
 y AS (SELECT *, round((0.7 * sim + 0.3 * CASE WHEN min(bm25) OVER w = max(bm25) OVER w THEN 1.0 ELSE (bm25 - max(bm25) OVER w) / (min(bm25) OVER w - max(bm25) OVER w) END) * {AGED}, 9) AS score FROM x WINDOW w AS (PARTITION BY query_id)),
 z AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM y)"""
-_RECALL = f"""WITH RECURSIVE {UP}, {E}, {questions_sql()}, {bm25_sql(EPISODE_TOKENS)},
-t AS (SELECT query_id, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS k FROM s) WHERE k <= 15),
-n AS (SELECT id FROM e WHERE embedding IS NOT NULL ORDER BY created_at DESC, id LIMIT 15),
+_SEARCH = f"{_CHUNK}, {_SEARCH_TAIL}"
+
+
+def _recall_sql(limit: int, columns: str = "*") -> str:
+    return f"""WITH RECURSIVE {UP}, {E}, {questions_sql()}, {bm25_sql(EPISODE_TOKENS)},
+t AS (SELECT query_id, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS k FROM s) WHERE k <= {3 * limit}),
+n AS (SELECT id FROM e WHERE embedding IS NOT NULL ORDER BY created_at DESC, id LIMIT {3 * limit}),
 b AS (SELECT query_id, id, max(bm25) AS bm25 FROM (SELECT * FROM t UNION ALL SELECT query_id, id, NULL FROM q, n) GROUP BY 1, 2),
 x AS (SELECT b.query_id, e.id, bm25, importance, created_at, access_count, {cosine_sql("e.embedding", "q.embedding")} AS sim FROM b JOIN e USING (id) JOIN q ON q.query_id = b.query_id
   WHERE scope = 'global' OR q.family IS NULL OR len(q.family) = 0 OR coalesce(list_contains(q.family, project_path), false)),
 y AS (SELECT *, 0.7 * sim + 0.3 * coalesce(CASE WHEN bm25 IS NULL THEN NULL WHEN min(bm25) OVER w = max(bm25) OVER w THEN 0.5 ELSE (bm25 - max(bm25) OVER w) / (min(bm25) OVER w - max(bm25) OVER w) END, 0.0) AS rel,
   (access_count + 1) / (greatest(max(access_count) OVER w, 1) + 1) AS used FROM x WINDOW w AS (PARTITION BY query_id)),
 z AS (SELECT query_id, id, round(0.5 * CASE WHEN importance = 'high' THEN greatest(rel, 0.3) ELSE rel END + 0.3 * exp(-0.6931471805599453 / 30 * (({NOW} - created_at) / 86400000.0)) + 0.2 * used, 9) AS score FROM y),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z)"""
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z)
+SELECT {columns} FROM r WHERE rank <= {limit}"""
 
-SQL = {
-    "ir_bm25": f"{_CHUNK} SELECT query_id, id, bm25 FROM t",
-    "ir_search": f"{_SEARCH} SELECT query_id, id, path, score, rank FROM z",
-    "ir_search_text": f"{_SEARCH} SELECT query_id, rank, '[' || rank || '] ' || path || ' — score ' || format('{{:.3f}}', round(score, 3) + 0.0) || chr(10) || substring(text, 1, 500) AS line FROM z WHERE rank <= 3",
-    "ir_search_fallback": f"""WITH RECURSIVE {UP}, {E}, {C}, {questions_sql()}, p AS (SELECT * FROM c WHERE embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 30),
-x AS (SELECT query_id, id, path, round({cosine_sql("p.embedding", "q.embedding")} * {AGED}, 9) AS score FROM q, p)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x) WHERE rank <= 10""",
-    "ir_recall": f"{_RECALL} SELECT * FROM r WHERE rank <= 5",
-    "ir_recall_touched": f"{_RECALL} SELECT DISTINCT id, CAST({NOW} AS BIGINT) AS accessed_at FROM r WHERE rank <= 5",
-    "ir_fused": f"""WITH RECURSIVE {UP}, {E}, {questions_sql(STOP_WORDS, 20)}, {bm25_sql(EPISODE_TOKENS)},
+
+_FUSED = f"""{bm25_sql(EPISODE_TOKENS)},
 t AS (SELECT query_id, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS k FROM s) WHERE k <= 50),
 n AS (SELECT id FROM e WHERE embedding IS NOT NULL ORDER BY accessed_at DESC, id LIMIT 200),
 b AS (SELECT query_id, id, max(bm25) AS bm25 FROM (SELECT * FROM t UNION ALL SELECT query_id, id, NULL FROM q, n) GROUP BY 1, 2),
@@ -148,7 +194,26 @@ y AS (SELECT *, CASE WHEN bm25 IS NOT NULL THEN rank() OVER (PARTITION BY query_
   rank() OVER (PARTITION BY query_id ORDER BY created_at DESC) AS r3, rank() OVER (PARTITION BY query_id ORDER BY access_count DESC) AS r4 FROM x),
 z AS (SELECT query_id, id, similarity, round(coalesce(CAST(0.4 AS DOUBLE) / (60 + r1), 0.0) + CAST(1 AS DOUBLE) / (60 + r2) + CAST(0.6 AS DOUBLE) / (60 + r3) + CAST(0.4 AS DOUBLE) / (60 + r4)
   + CASE WHEN importance = 'high' THEN CAST(1 AS DOUBLE) / 61 - CAST(1 AS DOUBLE) / 71 ELSE 0 END, 12) AS score FROM y)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z) WHERE rank <= 3 AND similarity >= 0.25""",
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM z) WHERE rank <= 3 AND similarity >= 0.25"""
+
+SQL = {
+    "ir_bm25": f"{_CHUNK} SELECT query_id, id, bm25 FROM t",
+    "ir_search": f"{_SEARCH} SELECT query_id, id, path, score, rank FROM z",
+    "ir_search_text": f"{_SEARCH} SELECT query_id, rank, '[' || rank || '] ' || path || ' — score ' || format('{{:.3f}}', round(score, 3) + 0.0) || chr(10) || substring(text, 1, 500) AS line FROM z WHERE rank <= 3",
+    "ir_search_fallback": f"""WITH RECURSIVE {UP}, {E}, {C}, {questions_sql()}, p AS (SELECT * FROM c WHERE embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 30),
+x AS (SELECT query_id, id, path, round({cosine_sql("p.embedding", "q.embedding")} * {AGED}, 9) AS score FROM q, p)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x) WHERE rank <= 10""",
+    "ir_recall": _recall_sql(5),
+    "ir_recall_touched": _recall_sql(5, f"DISTINCT id, CAST({NOW} AS BIGINT) AS accessed_at"),
+    "ir_fused": f"WITH RECURSIVE {UP}, {E}, {questions_sql(STOP_WORDS, 20)}, {_FUSED}",
+    "ir_recollect": f"""WITH {E}, w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS k FROM e WHERE embedding IS NOT NULL),
+q AS (SELECT a.session_id AS query_id, {terms_sql("substring(a.summary, 1, 6000)", STOP_WORDS, 20)} AS terms, a.embedding FROM w a LEFT JOIN w b ON b.session_id = a.session_id AND b.k = 2
+  WHERE a.k = 1 AND (b.id IS NULL OR {cosine_sql("a.embedding", "b.embedding")} <= 0.85)), {_FUSED.replace("SELECT * FROM (", "SELECT query_id, id, similarity, rank FROM (")}""",
+    "ir_search_or_recent": f"""{_chunk_sql(True)}, {_SEARCH_TAIL}, p AS (SELECT * FROM c WHERE embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 30),
+v AS (SELECT query_id, p.id, path, round({cosine_sql("p.embedding", "q.embedding")} * {AGED}, 9) AS score FROM q, p WHERE query_id NOT IN (SELECT query_id FROM s))
+SELECT query_id, id, path, score, rank FROM z WHERE rank <= 10 UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM v) WHERE rank <= 10""",
+    "ir_recall_most": _recall_sql(50),
     "ir_word_overlap": f"""WITH {C}, w AS (SELECT id, path, start_line, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS w FROM c),
 n AS (SELECT id, w, lead(id) OVER o AS next_id, lead(w) OVER o AS v FROM w WINDOW o AS (PARTITION BY path ORDER BY start_line NULLS LAST, id))
 SELECT id, next_id, round(CASE WHEN len(w) = 0 AND len(v) = 0 THEN 1.0 ELSE len(list_intersect(w, v)) / (len(w) + len(v) - len(list_intersect(w, v))) END, 9) AS similarity FROM n WHERE next_id IS NOT NULL""",
@@ -162,15 +227,7 @@ x AS (SELECT session_id, id, {cosine_sql("embedding", "previous")} AS similarity
 SELECT * FROM n WHERE parent_project IS DISTINCT FROM nearest""",
     "hier_rollup": f"""WITH RECURSIVE {UP}, {E}, r AS (SELECT full_path, arg_max(ancestor, (depth, ancestor)) AS root FROM up GROUP BY 1)
 SELECT coalesce(root, project_path) AS root, count(*) AS n FROM e LEFT JOIN r ON r.full_path = e.project_path WHERE project_path IS NOT NULL GROUP BY 1""",
-    "hier_inferred": """WITH p AS (SELECT DISTINCT session_id, path FROM (SELECT session_id, project_path || '/' || id AS path FROM episodes WHERE project_path IS NOT NULL UNION ALL
+    "hier_inferred": f"""WITH p AS (SELECT DISTINCT session_id, path FROM (SELECT session_id, project_path || '/' || id AS path FROM episodes WHERE project_path IS NOT NULL UNION ALL
   SELECT session_id, cwd || '/' || line_no FROM transcript_entries WHERE cwd IS NOT NULL) WHERE path LIKE '/%'),
-n AS (SELECT session_id, count(*) AS n_paths FROM p GROUP BY 1),
-v AS (SELECT session_id, project, count(*) AS votes FROM (SELECT session_id, (SELECT arg_max(full_path, length(full_path)) FROM projects x WHERE starts_with(p.path, x.full_path || '/')) AS project FROM p) WHERE project IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT session_id, arg_max(project, (votes, project)) AS project, max(votes) AS votes FROM v GROUP BY 1),
-g AS (SELECT session_id, path, string_split(path, '/') AS s FROM p),
-k AS (SELECT session_id, dir, count(*) AS k FROM (SELECT session_id, path, array_to_string(s[1:unnest(generate_series(2, len(s) - 1))], '/') AS dir FROM g) GROUP BY 1, 2),
-c AS (SELECT k.session_id, arg_max(dir, length(dir)) AS dir FROM k JOIN n ON n.session_id = k.session_id AND k.k = n.n_paths GROUP BY 1),
-h AS (SELECT session_id, (SELECT arg_max(full_path, length(full_path)) FROM projects x WHERE starts_with(c.dir || '/', x.full_path || '/')) AS home FROM c)
-SELECT n.session_id, CASE WHEN n_paths >= 2 THEN coalesce(CASE WHEN len(string_split(home, '/')) > 3 THEN home END, CASE WHEN votes >= n_paths * 0.6 THEN project END) END AS project, n_paths, coalesce(votes, 0) AS votes
-FROM n LEFT JOIN b USING (session_id) LEFT JOIN h USING (session_id)""",
+{inferred_sql("session_id")}""",
 }

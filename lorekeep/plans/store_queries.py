@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import jsonl
 from lorekeep.functions.text import DAY_MS, basename, evergreen, tokens
 from lorekeep.operators import upsert, windows
+from lorekeep.operators.skew import if_small
 from lorekeep.plans.common import C, E, NOW, chunks, episodes
 from lorekeep.sources.tables import one_per_id, table, trim_blanks
 from lorekeep.streaming import sessions
@@ -166,13 +167,14 @@ def tx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx_day_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown file for each project and day of its important episodes, by time."""
-    e = episodes(spark, sf_dir, "project_path", "importance", "summary", "created_at").where("importance = 'high' AND project_path IS NOT NULL")
+    """The Markdown of each project's important episodes by day, one piece for each hour in order of time, so that no day is ever one row; blank summaries are left out, and a day's title stands in its own piece (hour -1)."""
+    e = episodes(spark, sf_dir, "project_path", "importance", "summary", "created_at").where("importance = 'high' AND project_path IS NOT NULL").where(trim_blanks(F.col("summary")) != "")
     at = F.timestamp_millis(F.col("created_at"))
-    e = e.select("project_path", F.date_format(at, "yyyy-MM-dd").alias("day"), F.struct("created_at", "id", F.concat(F.lit("## "), F.date_format(at, "HH:mm"), F.lit("\n\n"), F.substring("summary", 1, 200)).alias("t")).alias("s"))
-    d = e.groupBy("project_path", "day").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    e = e.select("project_path", F.date_format(at, "yyyy-MM-dd").alias("day"), F.hour(at).alias("hour"), F.struct("created_at", "id", F.concat(F.lit("## "), F.date_format(at, "HH:mm"), F.lit("\n\n"), F.substring("summary", 1, 200)).alias("t")).alias("s"))
+    d = e.groupBy("project_path", "day", "hour").agg(F.sort_array(F.collect_list("s")).alias("s"))
     body = F.array_join(F.transform("s", lambda x: x["t"]), "\n\n")
-    return d.select("project_path", "day", F.size("s").alias("n"), F.concat(F.lit("# "), "day", F.lit("\n\n"), body, F.lit("\n")).alias("text"))
+    titles = e.select("project_path", "day").distinct().select("project_path", "day", F.lit(-1).alias("hour"), F.lit(0).alias("n"), F.concat(F.lit("# "), "day", F.lit("\n\n")).alias("text"))
+    return titles.unionByName(d.select("project_path", "day", "hour", F.size("s").alias("n"), F.concat(body, F.lit("\n\n")).alias("text")))
 
 
 def tx_project_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +222,7 @@ def up_backfilled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that name a known project but lack its path, with the first path of that name."""
     first = table(spark, sf_dir, "projects").groupBy(F.col("name").alias("project")).agg(F.min("full_path").alias("full_path"))
     e = episodes(spark, sf_dir, "project", "project_path").where("project_path IS NULL AND project IS NOT NULL")
-    return e.join(F.broadcast(first), "project").select("id", "project", "full_path")
+    return e.join(if_small(first), "project").select("id", "project", "full_path")
 
 
 def up_forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,10 +279,10 @@ def co_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def co_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average strength of retention by project: exp(-hours since reading / stability), stability growing with use; and the rate of importance as a Beta mean."""
-    e = episodes(spark, sf_dir, "project_path", "importance", "accessed_at", "access_count")
+    """Average strength of retention by project: exp(-hours since reading / stability), stability growing with the hours that passed until it was read; and the rate of importance as a Beta mean."""
+    e = episodes(spark, sf_dir, "project_path", "importance", "accessed_at", "created_at")
     hours = (F.lit(NOW) - F.col("accessed_at")) / F.lit(3_600_000.0)
-    stability = F.least(F.lit(365.0), F.lit(7.0) * (1 + 0.1 * F.log1p(F.col("access_count").cast("double"))))
+    stability = F.least(F.lit(365.0), F.lit(7.0) * (1 + 0.1 * F.coalesce(F.log1p(F.greatest((F.col("accessed_at") - F.col("created_at")) / F.lit(3_600_000.0), F.lit(0.0)) / 24), F.lit(0.0))))
     strength = F.when(F.col("accessed_at").isNull() | (F.col("accessed_at") == 0), F.lit(0.5)).otherwise(F.exp(-hours / (stability * 24)))
     high = F.sum((F.col("importance") == "high").cast("bigint"))
     return e.groupBy("project_path").agg(F.round(F.avg(strength), 9).alias("strength"), F.round((high + 1) / (F.count("*") + 2), 9).alias("rate"), F.count("*").alias("n"))
@@ -295,8 +297,8 @@ def co_evergreen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # a pattern, as the stream's source takes a plain path for a folder, and a table may be one file
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    # a pattern, as the stream's source takes a plain path for a folder, and a table may be one file; the bound keeps micro-batches small
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def st_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,9 +362,10 @@ SELECT session_id, count(*) AS n, substring(string_agg(speaker || ': ' || text,
     "tx_context": rf"""WITH {C}, t AS (SELECT project_path, id, updated_at, coalesce(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), 0) AS k FROM c WHERE project_path IS NOT NULL),
 b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY project_path ORDER BY updated_at DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
 SELECT project_path, count(*) AS n_chunks, CAST(sum(k) AS BIGINT) AS n_tokens, min(updated_at) AS oldest FROM b WHERE before < 2000 GROUP BY 1""",
-    "tx_day_log": f"""WITH {E} SELECT project_path, {_DAY} AS day, CAST(count(*) AS INTEGER) AS n, '# ' || {_DAY} || chr(10) || chr(10) ||
-  string_agg('## ' || strftime(make_timestamp(created_at * 1000), '%H:%M') || chr(10) || chr(10) || substring(summary, 1, 200), chr(10) || chr(10) ORDER BY created_at, id) || chr(10) AS text
-  FROM e WHERE importance = 'high' AND project_path IS NOT NULL GROUP BY 1, 2""",
+    "tx_day_log": f"""WITH {E}, h AS (SELECT project_path, {_DAY} AS day, CAST(strftime(make_timestamp(created_at * 1000), '%H') AS INTEGER) AS hour, created_at, id,
+  '## ' || strftime(make_timestamp(created_at * 1000), '%H:%M') || chr(10) || chr(10) || substring(summary, 1, 200) AS t FROM e WHERE importance = 'high' AND project_path IS NOT NULL AND trim(summary, {_TRIM}) <> '')
+SELECT project_path, day, hour, CAST(count(*) AS INTEGER) AS n, string_agg(t, chr(10) || chr(10) ORDER BY created_at, id) || chr(10) || chr(10) AS text FROM h GROUP BY 1, 2, 3
+UNION ALL SELECT DISTINCT project_path, day, -1, 0, '# ' || day || chr(10) || chr(10) FROM h""",
     "tx_project_overview": f"""WITH {E} SELECT project_path, count(DISTINCT session_id) AS n_sessions, min({_DAY}) AS first_day, max({_DAY}) AS last_day, count(DISTINCT {_DAY}) AS n_days,
   count(DISTINCT trim(string_split(summary, '. ')[1], {_TRIM})) AS n_sentences FROM e WHERE project_path IS NOT NULL GROUP BY 1""",
     "tx_event_log": r"""WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type || ' ' || value || ' ' || props AS line, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
@@ -390,7 +393,7 @@ SELECT project_path, count(*) AS n, count(*) FILTER (gone) AS n_gone, CAST(sum(C
 l AS (SELECT doc_id, section, CAST(len(string_split(body, chr(10))) AS INTEGER) AS n_lines FROM s),
 w AS (SELECT *, sum(n_lines) OVER (PARTITION BY doc_id ORDER BY section DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newer, max(n_lines) FILTER (section = 0) OVER (PARTITION BY doc_id) AS pre, max(section) OVER (PARTITION BY doc_id) AS last FROM l)
 SELECT doc_id, section, n_lines FROM w WHERE section = 0 OR section = last OR newer + pre <= 40""",
-    "co_strength": f"""WITH {E} SELECT project_path, round(avg(CASE WHEN accessed_at IS NULL OR accessed_at = 0 THEN 0.5 ELSE exp(-(({NOW} - accessed_at) / 3600000.0) / (least(365.0, 7.0 * (1 + 0.1 * ln(1 + access_count))) * 24)) END), 9) AS strength,
+    "co_strength": f"""WITH {E} SELECT project_path, round(avg(CASE WHEN accessed_at IS NULL OR accessed_at = 0 THEN 0.5 ELSE exp(-(({NOW} - accessed_at) / 3600000.0) / (least(365.0, 7.0 * (1 + 0.1 * coalesce(ln(1 + greatest((accessed_at - created_at) / 3600000.0, 0.0) / 24), 0.0))) * 24)) END), 9) AS strength,
   round(CAST(count(*) FILTER (importance = 'high') + 1 AS DOUBLE) / (count(*) + 2), 9) AS rate, count(*) AS n FROM e GROUP BY 1""",
     "co_evergreen": f"""WITH {C} SELECT split_part(path, '/', -1) LIKE '%MEMORY.md' OR NOT regexp_matches(split_part(path, '/', -1), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS evergreen, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM c GROUP BY 1""",
     "st_extractions": f"""WITH {_MESSAGES}, u AS (SELECT session_id, line_no, coalesce(sum(CAST(speaker = 'user' AS INTEGER)) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to as many ids are looked up by a filter that reaches the scan.
+LOOKED_UP = 1_000
+
+
+def looked_up(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows of ``df`` with an id in ``ids`` (column ``id_col``)."""
+    some = [r[0] for r in ids.select(id_col).distinct().limit(LOOKED_UP + 1).collect()]
+    return df.where(F.col(id_col).isin(some)) if len(some) <= LOOKED_UP else df.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
 def trim_blanks(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 

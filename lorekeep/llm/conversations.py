@@ -1,20 +1,25 @@
 """Problem 3: conversations from the lines of session logs.
 
-A session's messages form a reply graph: an assistant's message answers the user's message before it. Kahn's algorithm
-puts each graph into order, taking of the messages that are ready the earliest by time, then line; messages that it
-leaves over lie on a cycle and break their session. The session is complete if it begins with a user's message, every
-user's message is answered before the next, and no line is lost or cut off.
-
-A session may hold a third of all lines, so none is ever brought together in a task: times are filled in blocks of
-``BLOCK`` lines, messages are sorted by range over all sessions, and each stretch of a session that lies in one
-partition is numbered on its own, with the number of messages in the stretches before it added later. As replies never
-come before what they answer in that order, ordering each stretch by Kahn's algorithm orders the whole.
+A session's messages form a reply graph. Kahn's algorithm puts it into order, taking of the messages that are ready the
+earliest by time, then line; messages that it leaves over lie on a cycle, or behind one, and break their session. The session is
+complete if it begins with a user's message, every user's message is answered before the next, and no line is lost or cut off.
+
+Kahn's order is found without bringing a session together, as a session may hold a third of all lines. A message must wait for
+the latest, by time and line, of those that it answers directly or indirectly: its *blocker*. Blockers are found by doubling, each round
+following twice as many replies, so rounds grow with the logarithm of the longest way; who still has a way to go after as many rounds as
+the largest session allows lies on a cycle or behind one. Sorted by blocker, messages that wait for nothing are in Kahn's order already; those
+with one blocker come right after it, and among them the algorithm runs as it stands. Messages are sorted by range over all
+sessions, and each stretch of a session that lies in one partition is numbered on its own, with the number of messages in the
+stretches before it added later. Times are filled in blocks of ``BLOCK`` lines.
+
+Where the log names no replies, an assistant's message answers the user's message before it; no message then waits for a later one.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions.jsonl import SPEAKERS, is_array, micros, text, valid_json
-from lorekeep.session import durable, written
+from lorekeep.session import written
 
 BLOCK = 4096
 
@@ -49,12 +54,13 @@ def topological_order(parents: list[int], keys: list[tuple]) -> tuple[list[int],
     return order, [i for i in range(len(parents)) if i not in seen]
 
 
-def _lines(df: DataFrame) -> DataFrame:
+def _lines(df: DataFrame, parent_col: str | None) -> DataFrame:
     speaker = F.coalesce("type", "role")
     spoken = speaker.isin(SPEAKERS)
     content = F.col("content")
+    parent = F.col(parent_col).cast("string") if parent_col else F.lit(None).cast("string")
     return df.where(F.col("session_id").isNotNull()).select(
-        "session_id", "line_no", "entry_id", "uuid", F.when(spoken, speaker).alias("speaker"), micros(F.col("msg_timestamp")).alias("time"),
+        "session_id", "line_no", "entry_id", "uuid", parent.alias("parent"), F.when(spoken, speaker).alias("speaker"), micros(F.col("msg_timestamp")).alias("time"),
         F.coalesce(spoken & is_array(content) & ~valid_json(content), F.lit(False)).alias("cut_off"), F.when(spoken, text(content)).alias("text"),
     )
 
@@ -72,38 +78,69 @@ def _filled(lines: DataFrame) -> DataFrame:
     return rows.join(every, ["session_id", "block"], "left").withColumn("at", F.coalesce("at", "carried")).drop("block", "carried")
 
 
-_MESSAGE = ["session_id", "at", "line_no", "entry_id", "speaker"]
+#: A message's place by time and line, and its blocker's.
+KEY, BLOCKER = ["at", "line_no", "entry_id"], ["b_at", "b_line", "b_entry"]
+
+
+def _blockers(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages with the place of their blocker and the entry that they answer, sessions with a cycle). Replies to what is no message of the session count for nothing."""
+    named = messages.where("uuid IS NOT NULL").groupBy("session_id", "uuid").agg(F.min(F.struct(*KEY)).alias("k")).select("session_id", F.col("uuid").alias("parent"), F.col("k.entry_id").alias("up"))
+    linked = written(messages.join(named, ["session_id", "parent"], "left"))
+    state = linked.select("session_id", F.col("entry_id").alias("node"), "up", F.struct(*KEY).alias("top"))
+    most = linked.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        further = state.select("session_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("top").alias("above"))
+        step = state.where("up IS NOT NULL").join(further, ["session_id", "up"])
+        step = step.select("session_id", "node", F.col("next").alias("up"), F.greatest("top", "above").alias("top"))
+        state = written(state.where("up IS NULL").unionByName(step))
+        if not state.where("up IS NOT NULL").limit(1).count():
+            break
+    cyclic = state.where("up IS NOT NULL").select("session_id").distinct()
+    tops = state.select("session_id", F.col("node").alias("entry_id"), *[F.col(f"top.{k}").alias(b) for k, b in zip(KEY, BLOCKER)])
+    return linked.join(tops, ["session_id", "entry_id"]).withColumnRenamed("up", "answers"), cyclic
+
+
+def _kahn(rows: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+    """Rows with each group of one blocker (``new`` marks their first rows) in Kahn's order."""
+    begin = np.append(np.flatnonzero(new), len(rows))
+    order = np.arange(len(rows))
+    for i in np.flatnonzero(np.diff(begin) > 1).tolist():
+        a, b = int(begin[i]), int(begin[i + 1])
+        part = rows.iloc[a:b]
+        at = {e: k for k, e in enumerate(part["entry_id"].tolist())}
+        parents = [at.get(p, -1) for p in part["answers"].tolist()]
+        order[a:b] = a + np.array(topological_order(parents, list(zip(*[part[k].tolist() for k in KEY])))[0])
+    return rows.iloc[order]
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Orders the stretch of each session in this partition; ``place`` counts from 1 within it."""
+    """Orders the stretch of each session in this partition; ``place`` counts from 1 within it, ``twice`` marks a user's message right after another."""
     part = TaskContext.get().partitionId()
-    session, count, user = None, 0, False
-    for pdf in batches:
-        begin = np.flatnonzero(np.append(True, pdf["session_id"].to_numpy()[1:] != pdf["session_id"].to_numpy()[:-1])) if len(pdf) else []
-        out = []
-        for a, b in zip(begin, np.append(begin[1:], len(pdf))):
-            rows = pdf.iloc[a:b]
-            if rows["session_id"].iloc[0] != session:
-                session, count, user = rows["session_id"].iloc[0], 0, False
-            is_user = (rows["speaker"] == "user").to_numpy()
-            index = np.arange(len(rows))
-            latest = np.maximum.accumulate(np.where(is_user, index, -1))
-            # what a message answers in an earlier batch or partition is in order already
-            parents = np.where(is_user, -1, latest)
-            keys = list(zip(rows["at"].tolist(), rows["line_no"].tolist(), rows["entry_id"].tolist()))
-            order, left = topological_order(parents.tolist(), keys)
-            rows = rows.iloc[order]
-            now = is_user[order]
-            before = np.append(user, now[:-1])
-            out.append(rows.assign(part=part, place=np.arange(count + 1, count + len(rows) + 1), twice=now & before, n_left=len(left)))
-            count += len(rows) + len(left)
-            user = bool(now[-1]) if len(now) else user
-        if out:
-            yield pd.concat(out)
-
-
-def conversations(df: DataFrame, with_text: bool = False) -> DataFrame:
+    session, count, user, held = None, 0, False, None
+    for pdf in chain(batches, [None]):
+        rows = held if pdf is None else pd.concat([held, pdf]) if held is not None else pdf
+        if rows is None or not len(rows):
+            continue
+        group = rows[["session_id", *BLOCKER]]
+        new = (group != group.shift()).any(axis=1).to_numpy()
+        # the last group may go on in the next batch
+        stop = len(rows) if pdf is None else int(np.flatnonzero(new)[-1])
+        rows, new, held = rows.iloc[:stop], new[:stop], rows.iloc[stop:]
+        if not stop:
+            continue
+        rows = _kahn(rows, new)
+        name = rows["session_id"].to_numpy()
+        index = np.arange(stop)
+        begins = np.append(name[0] != session, name[1:] != name[:-1])
+        since = np.maximum.accumulate(np.where(begins, index, -1))
+        place = np.where(since < 0, count + index + 1, index - since + 1)
+        is_user = (rows["speaker"] == "user").to_numpy()
+        before = np.append(user, is_user[:-1]) & ~begins
+        session, count, user = name[-1], int(place[-1]), bool(is_user[-1])
+        yield pd.DataFrame({"session_id": name, "at": rows["at"].to_numpy(), "entry_id": rows["entry_id"].to_numpy(), "speaker": rows["speaker"].to_numpy(), "part": np.int32(part), "place": place, "twice": is_user & before})
+
+
+def conversations(df: DataFrame, with_text: bool = False, parent_col: str | None = None) -> DataFrame:
     """(session_id, turn, entry_id, speaker, at_us) and perhaps ``text``: the messages of every complete session, in order.
 
     Rules (``at_us`` is in microseconds): a line's speaker is ``type``, or ``role`` where that is null; only ``user`` and
@@ -113,8 +150,11 @@ def conversations(df: DataFrame, with_text: bool = False) -> DataFrame:
     ones included), if a user's or assistant's array is not valid JSON, if it has fewer than two messages, if it begins
     with the assistant or ends with the user, or if two user messages follow each other. Lines without a session are
     dropped. Of columns that aren't named here none is read.
+
+    ``parent_col`` names a column with the uuid of the line that a line answers. Then no message comes before what it answers, and a
+    session with a cycle of answers is dropped; a uuid that no message of the session has counts as none.
     """
-    lines = written(_filled(_lines(df)))
+    lines = written(_filled(_lines(df, parent_col)))
     whole = lines.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("line_no").alias("numbered"), F.min("line_no").alias("low"), F.max("line_no").alias("high"), F.max("cut_off").alias("cut_off")
     )
@@ -122,20 +162,24 @@ def conversations(df: DataFrame, with_text: bool = False) -> DataFrame:
     good = whole.join(distinct, "session_id").where("numbered = n AND low = 1 AND high = n AND most = 1 AND NOT cut_off").select("session_id")
     said = lines.where("speaker IS NOT NULL AND text <> ''")
     same = F.when(F.col("uuid").isNull(), F.struct("speaker", F.sha2("text", 256).alias("hash"), "at"))
-    first = F.min(F.struct("line_no", "entry_id", "at", "speaker")).alias("m")
-    messages = said.groupBy("session_id", "uuid", same.alias("same")).agg(first).select("session_id", "m.at", "m.line_no", "m.entry_id", "m.speaker")
-    messages = messages.repartitionByRange("session_id", "at", "line_no").sortWithinPartitions("session_id", F.col("at").asc_nulls_first(), "line_no", "entry_id")
-    messages = messages.select(*_MESSAGE).withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("line_no", F.coalesce("line_no", F.lit(0)))
-    schema = "session_id string, at bigint, line_no int, entry_id bigint, speaker string, part int, place bigint, twice boolean, n_left bigint"
-    numbered = durable(messages.mapInPandas(_number, schema))
+    first = F.min(F.struct("line_no", "entry_id", "at", "speaker", "parent")).alias("m")
+    messages = said.groupBy("session_id", "uuid", same.alias("same")).agg(first).select("session_id", "uuid", "m.parent", "m.at", "m.line_no", "m.entry_id", "m.speaker")
+    messages = messages.withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("line_no", F.coalesce("line_no", F.lit(0))).withColumn("entry_id", F.coalesce("entry_id", F.lit(0).cast("bigint")))
+    if parent_col:
+        messages, cyclic = _blockers(messages)
+        good = good.join(cyclic, "session_id", "left_anti")
+    else:
+        messages = messages.select("*", F.lit(-1).cast("bigint").alias("answers"), *[F.col(k).alias(b) for k, b in zip(KEY, BLOCKER)])
+    messages = messages.select("session_id", *BLOCKER, *KEY, "speaker", "answers").repartitionByRange("session_id", *BLOCKER).sortWithinPartitions("session_id", *BLOCKER, *KEY)
+    numbered = written(messages.mapInPandas(_number, "session_id string, at bigint, entry_id bigint, speaker string, part int, place bigint, twice boolean"))
     stretches = numbered.groupBy("session_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max("n_left").alias("n_left"),
+        F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"),
         F.min_by("speaker", "place").alias("first"), F.max_by("speaker", "place").alias("last"),
     )
     by_part = W.partitionBy("session_id").orderBy("part")
     stretches = stretches.withColumns({
         "offset": F.coalesce(F.sum("n").over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        "broken": F.col("twice") | (F.col("n_left") > 0)
+        "broken": F.col("twice")
         | F.when(F.lag("last").over(by_part).isNull(), F.col("first") != "user").otherwise((F.lag("last").over(by_part) == "user") & (F.col("first") == "user"))
         | (F.lead("first").over(by_part).isNull() & (F.col("last") != "assistant")),
     })

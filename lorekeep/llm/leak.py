@@ -24,7 +24,10 @@ from lorekeep.llm.text_runs import LETTER, NUMBER, Runs, chunks, windows
 
 #: Words that must agree in a row; an item of fewer words must occur wholly.
 WORDS = 12
-BLOCK_WORDS = 1_000_000
+#: Words of items that a task holds at once; a stated set of more takes another pass over the corpus for each further block.
+BLOCK_WORDS = 2_000_000
+#: Words of a tile and share of an item for passages that were reordered.
+TILE, COVERAGE = 6, 0.5
 _FILTER_BITS = 20
 
 
@@ -113,11 +116,12 @@ def stretches(at: np.ndarray, place: np.ndarray, length: int) -> list[tuple[int,
     return [(int(a[k]), int(b[k]), int(c) + length - 1) for k, c in zip(new, n)]
 
 
-def leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(``id_col``, ``item_col``, n_tiles, longest_tile, matched_words, item_words, coverage) of every pair with a tile.
+def leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, tile: int = WORDS, coverage: float = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(``id_col``, ``item_col``, n_tiles, longest_tile, matched_words, item_words, coverage) of every pair that leaks.
 
-    Words are the longest runs of letters or digits of the lower-cased text. A tile has at least ``n`` words, or all
-    words of a shorter item. Texts that are null or without words, on either side, match nothing. Rows are compared as
+    Words are the longest runs of letters or digits of the lower-cased text. A tile has at least ``tile`` words, or all
+    words of a shorter item. A pair leaks if a tile has at least ``n`` words (or the whole item), or if its tiles together cover at least the share
+    ``coverage`` of the item, as they do where a passage was cut into pieces and reordered. Texts that are null or without words, on either side, match nothing. Rows are compared as
     they come: a repeated document or item gives a row each time. Other columns aren't read. Hash matches are confirmed
     word by word. A null item id is left out.
     """
@@ -134,14 +138,14 @@ def leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     docs = corpus.selectExpr(f"`{id_col}` AS __id", f"`{text_col}` AS __text").where("__text IS NOT NULL")
     out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(Seeds(block, n)) if block else None
+        shared = spark.sparkContext.broadcast(Seeds(block, min(tile, n))) if block else None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, rows = [], []
                 if shared is not None:
                     for first, part in chunks(b.column(1).to_pylist()):
-                        for text, row in _pairs(Words(part), shared.value, n):
+                        for text, row in _pairs(Words(part), shared.value):
                             ids.append(first + text)
                             rows.append(row)
                 values = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate([item_type, *[pa.int32()] * 4])]
@@ -152,13 +156,14 @@ def leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         item_type = to_arrow_type(items.schema[item_col].dataType)
         part = docs.mapInArrow(run, f"__id {kinds[0]}, __item {kinds[1]}, n_tiles int, longest_tile int, matched_words int, item_words int")
         out = part if out is None else out.unionByName(part)
-    return out.select(
+    whole = F.col("longest_tile") >= F.least(F.lit(n), F.col("item_words"))
+    return out.where(whole | (F.col("matched_words") >= coverage * F.col("item_words"))).select(
         F.col("__id").alias(id_col), F.col("__item").alias(item_col), "n_tiles", "longest_tile", "matched_words", "item_words",
         (F.col("matched_words") / F.col("item_words")).alias("coverage"),
     )
 
 
-def _pairs(w: Words, seeds: Seeds, n: int) -> Iterator[tuple[int, tuple]]:
+def _pairs(w: Words, seeds: Seeds) -> Iterator[tuple[int, tuple]]:
     for length, text, item, at, place in seeds.matches(w):
         order = np.lexsort((item, text))
         text, item, at, place = text[order], item[order], at[order], place[order]

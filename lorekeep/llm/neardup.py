@@ -2,10 +2,11 @@
 
 Prefix filtering: the shingles of a text are put into one order for all texts, rarest first, and two texts that are
 similar enough share one of the first ``size - ceil(t * size) + 1``. Texts are joined on those, and a joined pair must
-pass the length filter, the positional filter and a suffix filter (a lower bound of the sets' symmetric difference, from
-parity bitmaps of the whole sets). What passes is verified once per pair on the whole sets. All filters are exact.
+pass the length filter, the positional filter and a lower bound of the sets' symmetric difference from parity bitmaps of the whole sets. What passes meets
+the whole sets, and there the suffix filter (the bound that halving both sets at pivots gives, ``DEPTH`` times) and what is left is verified once per pair. All filters are exact; shingles are compared as
+hashes of 44 bits.
 
-The order comes from counts of all texts' shingles in a table of fixed size (``BUCKETS``); shingles that share a bucket
+The order comes from counts of all texts' shingles in a table whose size grows with the corpus; shingles that share a bucket
 only blur it. Texts with equal sets are one record throughout. A shingle whose count says that more than ``HOT`` texts hold it is
 joined in blocks, so that no task compares more than ``HOT`` texts with each other. Postings travel packed, one row for each task and
 partition, because a row for each would double the shuffle.
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.leak import Words
 from lorekeep.llm.text_runs import chunks, windows
+from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
 SHINGLE, LEAST_WORDS = 3, 10
-BUCKETS = 1 << 20
+#: Buckets that shingles are counted in: as many as there are shingles, about, but no fewer and no more than these.
+BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 28
+#: Steps of a count's byte for each doubling.
+STEPS = 6
 HOT = 20_000
 #: Parity bitmaps have two bits for each shingle at least, in a power of two from 128 to 128 << LARGEST.
 LARGEST = 6
@@ -35,6 +40,8 @@ LARGEST = 6
 POSTINGS = 1_500_000
 #: Bits of the filter that keeps the texts of candidates in the last pass (fixed size, whatever the corpus).
 KEPT_BITS = 1 << 24
+#: How often the suffix filter halves the sets.
+DEPTH = 3
 #: Groups of exact copies of a text up to this size come out as all pairs, larger ones as pairs with the smallest id.
 ALL_PAIRS = 100
 #: Members of a set that one task pairs with the others of it, about.
@@ -77,31 +84,53 @@ def sets(batch: pa.RecordBatch, columns: int, shingle: int, least_words: int) ->
                 yield field, first, s
 
 
-def _counts(df: DataFrame, columns: int, shingle: int, least_words: int) -> np.ndarray:
-    """How many sets hold a shingle of each bucket. BUCKETS numbers reach the driver, whatever the corpus."""
-    pieces, width = 16, BUCKETS // 16
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, six steps for each doubling; 0 only for 0."""
+    return np.ceil(np.log2(counts + 1.0) * STEPS).astype(np.uint8)
+
+
+def _levels(df: DataFrame, columns: int, shingle: int, least_words: int) -> tuple[np.ndarray, int]:
+    """(levels, shingles in all). How many sets hold a shingle of each bucket, as :func:`levels_of`.
+
+    There are about as many buckets as shingles in the corpus, between BUCKETS and MOST_BUCKETS; that many bytes reach the driver and the tasks.
+    """
+    chars = df.agg(*[F.sum(F.length(f"__t{i}")) for i in range(columns)]).first()
+    width = 1 << int(np.clip(np.ceil(np.log2(max(1, sum(c or 0 for c in chars) / 6))), np.log2(BUCKETS), np.log2(MOST_BUCKETS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            # three bytes for each bucket; a count beyond a byte takes several entries
+            times = -(-n // 255)
+            low, piece = np.repeat(at & 0xFFFF, times).astype(np.uint16), np.repeat(at >> 16, times)
+            n = np.where(np.append(np.diff(np.repeat(at, times)) != 0, True), np.repeat(n - (times - 1) * 255, times), 255).astype(np.uint8)
+            edge = np.flatnonzero(np.append(True, np.diff(piece) != 0))
+            ends = [*edge[1:].tolist(), len(piece)]
+            blobs = [[x[i:j].tobytes() for i, j in zip(edge.tolist(), ends)] for x in (low, n)]
+            return pa.RecordBatch.from_arrays([pa.array(piece[edge].astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["piece", "low", "n"])
+
         for b in batches:
             for _, _, s in sets(b, columns, shingle, least_words):
-                total += np.bincount((s.mixed & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([total[k * width : (k + 1) * width].tobytes() for k in range(pieces)], pa.binary())], ["piece", "counts"])
+                held.append((s.mixed & np.uint64(width - 1)).astype(np.int64))
+                if sum(map(len, held)) > 4_000_000:
+                    yield flush()
+        if held:
+            yield flush()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int32)
-        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    # a task's own counts first meet those of a few others, so that no task gets all of them
-    part = df.mapInArrow(count, "piece int, counts binary").withColumn("few", F.spark_partition_id() % 32)
-    part = part.groupBy("piece", "few").applyInPandas(lambda pdf: add(pdf), "piece int, counts binary")
-    rows = part.groupBy("piece").applyInPandas(add, "piece int, counts binary").collect()
-    out = np.zeros(BUCKETS, np.int32)
+        total = np.zeros(1 << 16, np.int64)
+        for low, n in zip(pdf["low"], pdf["n"]):
+            total += np.bincount(np.frombuffer(low, np.uint16), np.frombuffer(n, np.uint8), 1 << 16).astype(np.int64)
+        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "levels": [levels_of(total).tobytes()], "total": [int(total.sum())]})
+
+    rows = df.mapInArrow(count, "piece int, low binary, n binary").groupBy("piece").applyInPandas(add, "piece int, levels binary, total bigint").collect()
+    out = np.zeros(width, np.uint8)
     for r in rows:
-        out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(r["counts"], np.int32)
-    return out
+        out[r["piece"] << 16 : (r["piece"] + 1) << 16] = np.frombuffer(r["levels"], np.uint8)
+    return out, sum(r["total"] for r in rows)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -114,11 +143,11 @@ def grade(size: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(size, 1) / 64)), 0, LARGEST).astype(np.int64)
 
 
-def _postings(s: Sets, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _postings(s: Sets, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(record, token, position) of the prefixes, rarest first, and the bitmaps of all records of ``s`` one after the other."""
-    count = np.minimum(counts[(s.mixed & np.uint64(BUCKETS - 1)).astype(np.int64)], BUCKETS - 1).astype(np.uint64)
+    level = levels[(s.mixed & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
     record = np.repeat(np.arange(len(s.texts)), s.size)
-    token = (count << np.uint64(24)) | (s.mixed >> np.uint64(40))
+    token = (level << np.uint64(36)) | (s.mixed >> np.uint64(28))
     order = np.sort((record.astype(np.uint64) << np.uint64(44)) | token)
     position = np.arange(len(order)) - np.repeat(s.begin, s.size)
     size = s.size[record]
@@ -174,7 +203,7 @@ class Bitmaps:
 
 def _split_hot(record: np.ndarray, token: np.ndarray, position: np.ndarray, key: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings of tokens with more than ``hot`` texts, once for each pair of blocks that the text's block is in."""
-    n = -(-(token >> np.uint64(24)).astype(np.int64) // hot)
+    n = np.ceil(2.0 ** ((token >> np.uint64(36)).astype(np.float64) / STEPS) / hot).astype(np.int64)
     many = n > 1
     if not many.any():
         return record, token, position
@@ -244,9 +273,9 @@ def pairs_of(key: np.ndarray, size: np.ndarray, bitmap: np.ndarray, record: np.n
 def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, least_words: int, hot: int) -> DataFrame:
     """(``a``, ``b``): keys of record pairs that pass the filters; a pair can come more than once."""
     spark = df.sparkSession
-    counts = spark.sparkContext.broadcast(_counts(df, columns, shingle, least_words))
-    share = 1 - num / den
-    parts = max(8, int(counts.value.sum(dtype=np.int64) * share) // POSTINGS)
+    table, total = _levels(df, columns, shingle, least_words)
+    levels = spark.sparkContext.broadcast(table)
+    parts = max(8, int(total * (1 - num / den)) // POSTINGS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -275,7 +304,7 @@ def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, le
         waiting = 0
         for b in batches:
             for _, _, s in sets(b, columns, shingle, least_words):
-                record, token, position, bitmap = _postings(s, counts.value, num, den)
+                record, token, position, bitmap = _postings(s, levels.value, num, den)
                 held.append([s.key, s.size, bitmap, record, token, position])
                 waiting += len(record)
                 if waiting > 2_000_000:
@@ -292,6 +321,47 @@ def candidates(df: DataFrame, columns: int, num: int, den: int, shingle: int, le
     return df.mapInArrow(emit, "part int, blob binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
 
 
+def suffix_bound(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, to_a: np.ndarray, at_b: np.ndarray, to_b: np.ndarray, depth: int) -> np.ndarray:
+    """A lower bound of the number of elements that only one of two sets holds, for many pairs at once.
+
+    The sets are stretches of the sorted arrays ``a`` and ``b``. The middle element of the second splits both in halves, and what the halves
+    differ by in size, at the last depth, must differ.
+    """
+    if not depth:
+        return np.abs((to_a - at_a) - (to_b - at_b))
+    some = to_b > at_b
+    middle = np.minimum((at_b + to_b) // 2, max(len(b) - 1, 0))
+    if not len(b):
+        return to_a - at_a
+    cut = np.clip(np.searchsorted(a, b[middle]), at_a, to_a)
+    found = some & (cut < to_a) & (a[np.minimum(cut, max(len(a) - 1, 0))] == b[middle]) if len(a) else np.zeros(len(cut), bool)
+    low = suffix_bound(a, b, at_a, cut, at_b, np.maximum(middle, at_b), depth - 1)
+    high = suffix_bound(a, b, cut + found, to_a, np.minimum(middle + 1, to_b), to_b, depth - 1)
+    return np.where(some, low + high + ~found, to_a - at_a)
+
+
+def verified(num: int, den: int):
+    """Of pairs with their sorted sets those whose Jaccard similarity is ``num / den`` at least: suffix filter, then the common elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (la, a), (lb, b) = ((x.value_lengths().to_numpy(), x.flatten().to_numpy().view(np.uint64)) for x in (batch.column(2), batch.column(3)))
+            # at most 2^20 pairs at once, so that pair and hash fit into 64 bits
+            pair = np.arange(len(la), dtype=np.uint64) << np.uint64(44)
+            a, b = a | np.repeat(pair, la), b | np.repeat(pair, lb)
+            end_a, end_b = np.cumsum(la), np.cumsum(lb)
+            total = la.astype(np.int64) + lb
+            least = -(-(num * total) // (num + den))
+            near = suffix_bound(a, b, end_a - la, end_a, end_b - lb, end_b, DEPTH) <= total - 2 * least
+            left = a[np.repeat(near, la)]
+            at = np.searchsorted(b, left)
+            equal = b[np.minimum(at, len(b) - 1)] == left if len(b) else np.zeros(0, bool)
+            common = np.bincount((left[equal] >> np.uint64(44)).astype(np.int64), minlength=len(la))
+            yield batch.filter(pa.array(near & (common >= least))).select(["a", "b"])
+
+    return run
+
+
 @lru_cache(1)
 def _no_bits() -> np.ndarray:
     return np.zeros(KEPT_BITS, bool)
@@ -302,8 +372,8 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
 
     Similar: a Jaccard similarity of at least ``num / den`` over the sets of ``shingle`` consecutive words. Texts that are
     null or have fewer than ``least_words`` words are similar to none; rows with the same id are one row, rows without id
-    none. Of a group of more than ALL_PAIRS ids with the very same text, each id comes out with the smallest one only; different
-    texts of equal sets are paired like all others.
+    none. Of a group of more than ALL_PAIRS ids with the very same text, each id comes out with the smallest one only, which also stands for
+    the group in pairs with other texts; :func:`members` gives the groups. Different texts of equal sets are paired like all others.
     Ids must be strings; other columns aren't read.
     """
     spark = df.sparkSession
@@ -338,16 +408,16 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
                 yield pa.RecordBatch.from_arrays([pa.array(s.key), ids, copy, pa.ListArray.from_arrays(offsets, pa.array(values))], ["key", "id", "copy", "shingles"])
 
     rows = written(hashed.mapInArrow(members, "key bigint, id string, copy bigint, shingles array<bigint>"))
-    m = rows.select("key", "id").distinct()
     one = rows.where(F.size("shingles") > 0).groupBy("key").agg(F.first("shingles").alias("shingles"))
     a = one.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     b = one.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = found.join(a, "a").join(b, "b").where(common * (num + den) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
-    both = alike.join(m.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
+    alike = found.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verified(num, den), "a bigint, b bigint")
     # of equal sets: exact copies of a text
     t = rows.select("key", "copy", "id").distinct()
     copies = t.groupBy("key", "copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x")).where("n > 1")
+    # of many copies of a text the first stands for all
+    m = t.join(copies.where(F.col("n") > ALL_PAIRS), ["key", "copy"], "left").where(F.col("n").isNull() | (F.col("id") == F.col("x"))).select("key", "id").distinct()
+    both = alike.join(m.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
     star = t.withColumnRenamed("id", "y").join(copies, ["key", "copy"]).where(F.col("x") < F.col("y")).select("key", "copy", "n", "x", "y")
     small = star.where(F.col("n") <= ALL_PAIRS).select("key", "copy", "y")
     rest = small.withColumnRenamed("y", "x").join(small, ["key", "copy"]).where(F.col("x") < F.col("y"))
@@ -359,3 +429,17 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
     differ = one_side.join(other_side, ["key", "salt"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
     every = both.select("x", "y").unionByName(star.select("x", "y")).unionByName(rest.select("x", "y")).unionByName(differ.select("x", "y")).where(F.col("x") != F.col("y"))
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def members(df: DataFrame, id_col: str, text_cols: list[str], least_words: int = LEAST_WORDS) -> DataFrame:
+    """(``field``, ``id``, ``class_id``, ``n_copies``): for every text that is compared the smallest id with the very same text, and how many ids have it.
+
+    What holds for the text of ``class_id`` holds for every copy. Rows with the same id are one row; null ids and texts, and texts of
+    fewer than ``least_words`` words, give none.
+    """
+    n_words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)")))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in text_cols]))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), each.alias("t")).select("id", "t.field", "t.text")
+    texts = texts.where(F.col("text").isNotNull() & (n_words >= least_words)).select("id", "field", F.sha2(F.concat("field", F.lit("\n"), "text"), 256).alias("copy")).distinct()
+    classes = texts.groupBy("copy").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    return join_on_key(texts, classes, "copy", "inner").select("field", "id", "class_id", "n_copies")

@@ -7,9 +7,10 @@ the upper bound reaches both the asked similarity and the k-th best lower bound
 estimated again with 8 bits a coordinate on both sides, and cut by the k-th best of the cell and then of all cells looked into;
 reranking computes the exact cosine once for each pair that is left.
 
-The centres are fitted on a sample of at most ``SAMPLE`` vectors, but every vector is indexed. The shuffle moves codes, not
-vectors; equal vectors of a task are one record; cells that the sample shows to be large are split into blocks, each of
-which gets the cell's queries.
+There are as many centres as make finding a query's cells and looking through them cost the same: the root of ``PROBES`` times the
+number of vectors. They are fitted on a bounded sample, but every vector is indexed. The shuffle moves codes, not
+vectors; equal vectors of a task are one record; cells that the sample shows to be large are split into blocks of vectors and blocks of queries,
+each of which meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -26,12 +27,11 @@ from pyspark.sql import functions as F
 from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
-SAMPLE = 32_768
-#: Most centres; below, one for each PER_CELL vectors.
-CENTRES, PER_CELL = 4096, 256
+#: Centres are fitted on about PER_CENTRE vectors each, in all on at least LEAST_SAMPLE and at most MOST_SAMPLE.
+PER_CENTRE, LEAST_SAMPLE, MOST_SAMPLE = 16, 32_768, 262_144
 PROBES = 6
-#: A block of a cell has about as many vectors.
-BLOCK = 16_384
+#: A block of a cell has about as many vectors, and about as many queries.
+BLOCK, QUERIES = 16_384, 131_072
 #: Standard deviations in the error bound (the value of the method's paper).
 EPSILON = 1.9
 #: Standard deviations in the bound of the 8-bit estimates, whose rounding errors a random rotation makes independent.
@@ -72,18 +72,24 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def centres_for(rows: int) -> int:
+    return max(1, int(np.sqrt(PROBES * rows)))
+
+
 class Index:
-    """Centres, rotation and the number of blocks of each cell."""
+    """Centres, rotation and the number of blocks of each cell's vectors and queries."""
 
     def __init__(self, sample: np.ndarray, rows: int, dim: int):
         sample = sample.astype(np.float32)
-        k = int(min(CENTRES, max(1, rows // PER_CELL), max(1, len(sample) // 4)))
+        k = min(centres_for(rows), max(1, len(sample) // 4))
         self.centres = centres(sample, k) if len(sample) else np.zeros((1, dim), np.float32)
         self.rotation = np.linalg.qr(np.random.default_rng(2).standard_normal((dim, dim)))[0].astype(np.float32)
         self.rotated = self.centres @ self.rotation
         near = np.concatenate([(sample[i : i + 4096] @ self.centres.T).argmax(1) for i in range(0, len(sample), 4096)] or [np.zeros(0, int)])
         load = np.bincount(near, minlength=k) * (rows / max(1, len(sample)))
         self.blocks = np.maximum(1, np.ceil(load / BLOCK)).astype(np.int64)
+        # the queries of a cell are those of its own vectors and of as many neighbouring cells
+        self.query_blocks = np.maximum(1, np.ceil(load * PROBES / QUERIES)).astype(np.int64)
 
     def probes(self, x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells, inner products with their centres) of the p nearest cells of each row, nearest first."""
@@ -96,11 +102,12 @@ class Index:
 
 
 def fit(df: DataFrame, vec_col: str, dim: int) -> Index:
-    """The index of ``vec_col``, from a sample of at most SAMPLE of its vectors (those whose hashes are smallest enough)."""
+    """The index of ``vec_col``, from a sample of at most MOST_SAMPLE of its vectors (those whose hashes are small enough)."""
     v = df.where(F.size(vec_col) == dim).select(vec_col)
     n = v.count()
-    parts = max(1, 1_000_000 * SAMPLE * 9 // 10 // max(n, 1))
-    got = v.where(F.pmod(F.xxhash64(vec_col), F.lit(1_000_000)) < parts).limit(SAMPLE).toArrow()
+    most = int(np.clip(PER_CENTRE * centres_for(n), LEAST_SAMPLE, MOST_SAMPLE))
+    parts = max(1, 1_000_000 * most * 9 // 10 // max(n, 1))
+    got = v.where(F.pmod(F.xxhash64(vec_col), F.lit(1_000_000)) < parts).limit(most).toArrow()
     _, x = usable(got.column(0).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32())), dim)
     return Index(x, n, dim)
 
@@ -138,14 +145,20 @@ def _emit(index: Index, dim: int, probes: int):
             times = index.blocks[cell]
             at, cell_q, sim_q = np.repeat(at, times), np.repeat(cell, times), np.repeat(sim, times)
             block_q = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            cell_all, block_all = np.append(home, cell_q), np.append(block, block_q)
+            wide = index.query_blocks
+            block_q = block_q * wide[cell_q] + ((key[at].view(np.uint64) >> np.uint64(40)) % wide[cell_q].astype(np.uint64)).astype(np.int64)
+            # vectors, once for each block of queries
+            copies = wide[home]
+            own = np.repeat(np.arange(n), copies)
+            block = block[own] * copies[own] + np.arange(len(own)) - np.repeat(np.cumsum(copies) - copies, copies)
+            cell_all, block_all = np.append(home[own], cell_q), np.append(block, block_q)
             order = np.lexsort((block_all, cell_all))
             cell_all, block_all = cell_all[order], block_all[order]
             edge = np.flatnonzero(np.append(True, (np.diff(cell_all) != 0) | (np.diff(block_all) != 0)))
             blobs = []
             for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
                 rows = order[i:j]
-                d, q = rows[rows < n], rows[rows >= n] - n
+                d, q = own[rows[rows < len(own)]], rows[rows >= len(own)] - len(own)
                 a = at[q]
                 arrays = [key[d], np.stack([length[d], factor[d], sims[d, 0], scale[d]], 1), codes[d], small[d], key[a], np.stack([scale[a], sim_q[q]], 1), small[a]]
                 blobs.append(_pack(arrays))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.text_runs import BLANK, LETTER, NUMBER, Runs, chunks
+from lorekeep.operators.skew import if_small
 from lorekeep.session import written
 
 #: What the distance is taken over.
@@ -25,6 +26,8 @@ ENDS = ".!?…"
 #: Most rows of the word list that tasks get; it is refused beyond that.
 LIST_ROWS = 1_000_000
 CORE = 3.0
+#: Accuracy of the medians: they are off by one in as many of the rows at most.
+ACCURACY = 10_000
 #: A language with fewer texts is held against the texts of all languages.
 LEAST_TEXTS = 50
 
@@ -144,28 +147,36 @@ def flags() -> dict[str, Column]:
     }
 
 
-def _fit(s: DataFrame) -> list[tuple]:
-    """(language, mean, inverse covariance) for each language with LEAST_TEXTS texts in the core, and for all ("*")."""
-    both = s.select(F.explode(F.array("language", F.lit("*"))).alias("language"), *STATISTICS)
-    middle = both.groupBy("language").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in STATISTICS])
-    spread = both.join(F.broadcast(middle), "language").groupBy("language").agg(
+def _core_sums(rows: DataFrame) -> list:
+    """Counts, sums and sums of products of each language's core, around its medians."""
+    middle = rows.groupBy("language").agg(*[F.percentile_approx(c, 0.5, ACCURACY).alias(f"m_{c}") for c in STATISTICS])
+    spread = rows.join(if_small(middle), "language").groupBy("language").agg(
         *[F.first(f"m_{c}").alias(f"m_{c}") for c in STATISTICS],
-        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"s_{c}") for c in STATISTICS],
+        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, ACCURACY).alias(f"s_{c}") for c in STATISTICS],
     )
-    near = [F.abs(F.col(c) - F.col(f"m_{c}")) <= CORE * F.greatest(1.4826 * F.col(f"s_{c}"), F.lit(1e-3)) for c in STATISTICS]
-    core = both.join(F.broadcast(spread), "language")
-    for x in near:
-        core = core.where(x)
-    d = len(STATISTICS)
+    core = rows.join(if_small(spread), "language")
+    for c in STATISTICS:
+        core = core.where(F.abs(F.col(c) - F.col(f"m_{c}")) <= CORE * F.greatest(1.4826 * F.col(f"s_{c}"), F.lit(1e-3)))
     shifted = [F.col(c) - F.col(f"m_{c}") for c in STATISTICS]
+    d = len(STATISTICS)
     sums = core.groupBy("language").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.first(f"m_{c}").alias(f"m{i}") for i, c in enumerate(STATISTICS)],
         *[F.sum(x).alias(f"x{i}") for i, x in enumerate(shifted)],
         *[F.sum(shifted[i] * shifted[j]).alias(f"x{i}_{j}") for i in range(d) for j in range(i, d)],
     )
+    return sums.where(F.col("n") >= LEAST_TEXTS).collect()
+
+
+def _fit(s: DataFrame) -> list[tuple]:
+    """(language, mean, inverse covariance) for each language with LEAST_TEXTS texts in the core, and for all ("*")."""
+    # a language is one with LEAST_TEXTS texts, so declared languages that only dirt names never reach a broadcast; "*" stands for all texts
+    enough = s.groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).select("language")
+    own = s.join(if_small(enough), "language", "left_semi").select("language", *STATISTICS)
+    rows = _core_sums(own) + _core_sums(s.select(F.lit("*").alias("language"), *STATISTICS))
+    d = len(STATISTICS)
     out = []
-    for r in sums.where(F.col("n") >= LEAST_TEXTS).collect():  # one row for each language
+    for r in rows:  # one row for each language
         mean = np.array([r[f"x{i}"] for i in range(d)]) / r["n"]
         cov = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / r["n"] - np.outer(mean, mean)
         scale = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), 1e-3)

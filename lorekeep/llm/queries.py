@@ -9,8 +9,8 @@ from lorekeep.functions.jsonl import ISO
 from lorekeep.llm.clusters import described, similarity_clusters, split_loose
 from lorekeep.llm.conversations import conversations
 from lorekeep.llm.encode import encode
-from lorekeep.llm.leak import leaks
-from lorekeep.llm.neardup import similar_pairs
+from lorekeep.llm.leak import COVERAGE, TILE, WORDS, leaks
+from lorekeep.llm.neardup import members, similar_pairs
 from lorekeep.llm.neighbours import most_similar
 from lorekeep.llm.quality import quality
 from lorekeep.session import durable
@@ -52,6 +52,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "episodes"), "id", ["summary", "full_content"], 3, 5, shingle=3, least_words=10)
 
 
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies: for every compared text the smallest id with that text."""
+    return members(table(spark, sf_dir, "episodes"), "id", ["summary", "full_content"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_clusters(table(spark, sf_dir, "episodes"), "id", "embedding", DIM, 0.75).select("cluster_id", F.col("id").alias("episode_id"))
 
@@ -78,12 +83,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with every item that it holds a passage of: tiles, words and coverage."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Every document with every item that it holds a passage of, in one piece or in several that cover half of it: tiles, words and coverage."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), tile=TILE, coverage=COVERAGE)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_pairs(spark, sf_dir).select("doc_id", "item_id").distinct()
+    return p7_pairs(spark, sf_dir).where(F.col("longest_tile") >= F.least(F.lit(WORDS), F.col("item_words"))).select("doc_id", "item_id").distinct()
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p5_found, p5_described, p5_parts, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p4_members, p5_found, p5_described, p5_parts, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 
@@ -142,4 +147,9 @@ bad AS (SELECT DISTINCT session_id FROM o WHERE n < 2 OR (p IS NULL AND s <> 'us
 SELECT {columns} FROM o WHERE session_id NOT IN (SELECT session_id FROM bad)"""
 
 
-SQL: dict[str, str] = {"p3_found": _p3("session_id, turn, entry_id"), "p3_turns": _p3("session_id, turn, entry_id, s AS speaker, at_us, txt AS text"), "p7_found": _P7, "p8_found": _P8}
+_P4_MEMBERS = r"""WITH t AS (SELECT DISTINCT id, 'summary' AS field, summary AS text FROM episodes UNION SELECT DISTINCT id, 'full_content', full_content FROM episodes),
+c AS (SELECT * FROM t WHERE id IS NOT NULL AND len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 10)
+SELECT field, id, min(id) OVER w AS class_id, count(*) OVER w AS n_copies FROM c WINDOW w AS (PARTITION BY field, text)"""
+
+
+SQL: dict[str, str] = {"p4_members": _P4_MEMBERS, "p3_found": _p3("session_id, turn, entry_id"), "p3_turns": _p3("session_id, turn, entry_id, s AS speaker, at_us, txt AS text"), "p7_found": _P7, "p8_found": _P8}

@@ -56,3 +56,36 @@ def test_kahn():
     assert topological_order([-1, 0, -1, 2, -1, 1], keys) == ([0, 1, 2, 3, 4, 5], [])
     assert topological_order([3, 0, -1, 1], [(5,), (1,), (9,), (0,)]) == ([2], [0, 1, 3])
     assert topological_order([-1, 2, -1], [(3,), (0,), (2,)]) == ([2, 1, 0], [])
+
+
+def test_given_replies(spark):
+    """Answers come after what they answer even where their times say otherwise, in Kahn's order, and a cycle drops its session."""
+    schema = "session_id string, line_no int, entry_id long, uuid string, type string, role string, content string, msg_timestamp string, answers string"
+    ring = [("u", "user", 1, "b"), ("a", "assistant", 2, "u"), ("v", "user", 3, None), ("b", "assistant", 4, "a")]
+    late = [("u", "user", 5, None), ("a", "assistant", 1, "u"), ("v", "user", 6, "a"), ("b", "assistant", 2, "v"), ("c", "assistant", 3, "b")]
+    long = [(f"m{k}", "assistant" if k % 2 else "user", 50 - k, f"m{k - 1}" if k else "gone") for k in range(50)]
+    rows = [(n, k + 1, h * 100 + k, u, t, None, u, at(m), p) for h, (n, r) in enumerate({"ring": ring, "late": late, "long": long}.items()) for k, (u, t, m, p) in enumerate(r)]
+    got = conversations(spark.createDataFrame(rows, schema).repartition(3), with_text=True, parent_col="answers").orderBy("session_id", "turn").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["session_id"], []).append(r["text"])
+    assert by == {"late": ["u", "a", "v", "b", "c"], "long": [f"m{k}" for k in range(50)]}
+
+
+def test_kahn_by_blockers_is_kahn(spark):
+    import random
+
+    rnd = random.Random(2)
+    schema = "session_id string, line_no int, entry_id long, uuid string, type string, role string, content string, msg_timestamp string, answers string"
+    rows, want = [], {}
+    for s in range(12):
+        n = 60
+        # the first is the user's and the earliest, and all others answer in the end what it says
+        minutes = [0] + rnd.sample(range(1, 60), n - 1)
+        parents = [-1] + [rnd.randrange(k) for k in range(1, n)]
+        rows += [(f"s{s}", k + 1, s * 1000 + k, f"u{k}", "assistant" if k else "user", None, f"t{k}", at(minutes[k]), f"u{parents[k]}") for k in range(n)]
+        want[f"s{s}"] = [f"t{k}" for k in topological_order(parents, [(m, k) for k, m in enumerate(minutes)])[0]]
+    got = {}
+    for r in conversations(spark.createDataFrame(rows, schema).repartition(4), with_text=True, parent_col="answers").orderBy("session_id", "turn").collect():
+        got.setdefault(r["session_id"], []).append(r["text"])
+    assert got == want

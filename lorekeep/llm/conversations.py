@@ -82,8 +82,8 @@ def _filled(lines: DataFrame) -> DataFrame:
 KEY, BLOCKER = ["at", "line_no", "entry_id"], ["b_at", "b_line", "b_entry"]
 
 
-def _blockers(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with the place of their blocker and the entry that they answer, sessions with a cycle). Replies to what is no message of the session count for nothing."""
+def _blockers(messages: DataFrame) -> DataFrame:
+    """Messages with the place of their blocker and the entry that they answer, without sessions that have a cycle. Replies to what is no message of the session count for nothing."""
     named = messages.where("uuid IS NOT NULL").groupBy("session_id", "uuid").agg(F.min(F.struct(*KEY)).alias("k")).select("session_id", F.col("uuid").alias("parent"), F.col("k.entry_id").alias("up"))
     linked = written(messages.join(named, ["session_id", "parent"], "left"))
     state = linked.select("session_id", F.col("entry_id").alias("node"), "up", F.struct(*KEY).alias("top"))
@@ -97,7 +97,7 @@ def _blockers(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     cyclic = state.where("up IS NOT NULL").select("session_id").distinct()
     tops = state.select("session_id", F.col("node").alias("entry_id"), *[F.col(f"top.{k}").alias(b) for k, b in zip(KEY, BLOCKER)])
-    return linked.join(tops, ["session_id", "entry_id"]).withColumnRenamed("up", "answers"), cyclic
+    return linked.join(cyclic, "session_id", "left_anti").join(tops, ["session_id", "entry_id"]).withColumnRenamed("up", "answers")
 
 
 def _kahn(rows: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
@@ -166,8 +166,7 @@ def conversations(df: DataFrame, with_text: bool = False, parent_col: str | None
     messages = said.groupBy("session_id", "uuid", same.alias("same")).agg(first).select("session_id", "uuid", "m.parent", "m.at", "m.line_no", "m.entry_id", "m.speaker")
     messages = messages.withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("line_no", F.coalesce("line_no", F.lit(0))).withColumn("entry_id", F.coalesce("entry_id", F.lit(0).cast("bigint")))
     if parent_col:
-        messages, cyclic = _blockers(messages)
-        good = good.join(cyclic, "session_id", "left_anti")
+        messages = _blockers(messages)
     else:
         messages = messages.select("*", F.lit(-1).cast("bigint").alias("answers"), *[F.col(k).alias(b) for k, b in zip(KEY, BLOCKER)])
     messages = messages.select("session_id", *BLOCKER, *KEY, "speaker", "answers").repartitionByRange("session_id", *BLOCKER).sortWithinPartitions("session_id", *BLOCKER, *KEY)

@@ -38,3 +38,13 @@ def test_tiles_take_the_longest_first_and_never_overlap():
     assert tiles([(0, 0, 20), (15, 100, 10)], 3) == [(0, 0, 20), (20, 105, 5)]
     assert tiles([(0, 0, 5), (0, 10, 5)], 3) == [(0, 0, 5)]
     assert tiles([(0, 0, 2)], 3) == []
+
+
+def test_a_passage_in_short_pieces_leaks_by_coverage(spark):
+    words = REORDERED.split()
+    pieces = [" ".join(words[k : k + 6]) for k in (18, 0, 12, 6)]
+    docs = spark.createDataFrame([(1, " -- ".join(f"{p} and so on" for p in pieces)), (2, pieces[0] + " alone"), (3, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, REORDERED)], "item_id long, text string")
+    assert [r["doc_id"] for r in leaks(docs, items).collect()] == [3]
+    got = {r["doc_id"]: r for r in leaks(docs, items, tile=6, coverage=0.5).collect()}
+    assert set(got) == {1, 3} and got[1]["n_tiles"] == 4 and got[1]["longest_tile"] == 6 and got[1]["coverage"] == pytest.approx(24 / 26)

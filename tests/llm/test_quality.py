@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
+from conftest import SMALL
 
-from lorekeep.llm.quality import STATISTICS, quality
+from lorekeep.llm.quality import CORE, LEAST_TEXTS, STATISTICS, quality
 
 PROSE = "The quiet cat rested on the carpet and it was the end of a summer day. Then the sleepy dog came to the house and all was well with it."
 
@@ -40,3 +42,30 @@ def test_empty(result):
     assert quality(df.where("false"), words).count() == 0
     few = quality(df.where("doc_id = 104"), words.where("false")).collect()
     assert len(few) == 1 and few[0]["outlierness"] is None and few[0]["language"] == "und"
+
+
+def test_distance_against_numpy(spark):
+    """The distance and its parts from the statistics alone, by numpy, on the smallest tables."""
+    got = quality(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/common_words.parquet")).toPandas()
+    x = got[STATISTICS].to_numpy(float)
+    model = np.where(got["language"].map(got["language"].value_counts()).to_numpy() >= LEAST_TEXTS, got["language"], "*")
+    fits = {}
+    for name in ["*", *set(got["language"])]:
+        rows = x if name == "*" else x[(got["language"] == name).to_numpy()]
+        if len(rows) < LEAST_TEXTS:
+            continue
+        middle = np.sort(rows, axis=0)[(len(rows) - 1) // 2]
+        spread = np.sort(np.abs(rows - middle), axis=0)[(len(rows) - 1) // 2]
+        core = rows[(np.abs(rows - middle) <= CORE * np.maximum(1.4826 * spread, 1e-3)).all(1)]
+        if len(core) < LEAST_TEXTS:
+            continue
+        cov = np.cov(core.T, bias=True)
+        scale = np.maximum(np.sqrt(np.diag(cov)), 1e-3)
+        fits[name] = core.mean(0), np.linalg.inv(cov / np.outer(scale, scale) + 0.01 * np.eye(x.shape[1])) / np.outer(scale, scale)
+    for k, name in enumerate(model):
+        mean, inverse = fits.get(name, fits.get("*", (None, None)))
+        if mean is None:
+            assert np.isnan(got["outlierness"][k])
+            continue
+        parts = (x[k] - mean) * (inverse @ (x[k] - mean))
+        assert got[[f"contribution_{c}" for c in STATISTICS]].to_numpy(float)[k] == pytest.approx(parts, rel=1e-5, abs=1e-5)

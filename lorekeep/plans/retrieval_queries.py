@@ -200,6 +200,14 @@ SQL = {
     "ir_bm25": f"{_CHUNK} SELECT query_id, id, bm25 FROM t",
     "ir_search": f"{_SEARCH} SELECT query_id, id, path, score, rank FROM z",
     "ir_search_text": f"{_SEARCH} SELECT query_id, rank, '[' || rank || '] ' || path || ' — score ' || format('{{:.3f}}', round(score, 3) + 0.0) || chr(10) || substring(text, 1, 500) AS line FROM z WHERE rank <= 3",
+    "ir_search_diverse": f"""{_SEARCH}, g AS (SELECT query_id, list(struct_pack(id := id, score := score, w := list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> ''))) ORDER BY rank) AS left_
+  FROM z WHERE rank <= 150 GROUP BY 1),
+r AS (SELECT query_id, 0 AS n, left_, left_[1:0] AS chosen FROM g UNION ALL
+  SELECT query_id, n + 1, list_concat(left_[1:best - 1], left_[best + 1:]), list_append(chosen, left_[best]) FROM (SELECT *, list_position(gains, list_max(gains)) AS best FROM (
+    SELECT *, list_transform(left_, lambda x: 0.7::DOUBLE * x.score - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda y: CASE WHEN len(x.w) = 0 AND len(y.w) = 0 THEN 1.0::DOUBLE
+      ELSE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) END)), 0)) AS gains FROM r WHERE n < 10 AND len(left_) > 0)))
+SELECT query_id, id, score, rank FROM (SELECT query_id, unnest(chosen).id AS id, unnest(chosen).score AS score, CAST(unnest(generate_series(1, len(chosen))) AS INTEGER) AS rank
+  FROM (SELECT query_id, arg_max(chosen, n) AS chosen FROM r GROUP BY 1))""",
     "ir_search_fallback": f"""WITH RECURSIVE {UP}, {E}, {C}, {questions_sql()}, p AS (SELECT * FROM c WHERE embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 30),
 x AS (SELECT query_id, id, path, round({cosine_sql("p.embedding", "q.embedding")} * {AGED}, 9) AS score FROM q, p)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM x) WHERE rank <= 10""",

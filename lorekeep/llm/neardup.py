@@ -29,8 +29,8 @@ from lorekeep.operators.skew import join_on_key
 from lorekeep.session import durable, written
 
 SHINGLE, LEAST_WORDS = 3, 10
-#: Buckets that shingles are counted in: as many as there are shingles, about, but no fewer and no more than these.
-BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 28
+#: Buckets that shingles are counted in: a quarter of the shingles, about, but no fewer and no more than these.
+BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 27
 #: Steps of a count's byte for each doubling.
 STEPS = 6
 HOT = 20_000
@@ -92,10 +92,10 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 def _levels(df: DataFrame, columns: int, shingle: int, least_words: int) -> tuple[np.ndarray, int]:
     """(levels, shingles in all). How many sets hold a shingle of each bucket, as :func:`levels_of`.
 
-    There are about as many buckets as shingles in the corpus, between BUCKETS and MOST_BUCKETS; that many bytes reach the driver and the tasks.
+    There is about a bucket for every four shingles in the corpus, between BUCKETS and MOST_BUCKETS; that many bytes reach the driver and the tasks.
     """
     chars = df.agg(*[F.sum(F.length(f"__t{i}")) for i in range(columns)]).first()
-    width = 1 << int(np.clip(np.ceil(np.log2(max(1, sum(c or 0 for c in chars) / 6))), np.log2(BUCKETS), np.log2(MOST_BUCKETS)))
+    width = 1 << int(np.clip(np.ceil(np.log2(max(1, sum(c or 0 for c in chars) / 24))), np.log2(BUCKETS), np.log2(MOST_BUCKETS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -411,9 +411,13 @@ def similar_pairs(df: DataFrame, id_col: str, text_cols: list[str], num: int = 4
     one = rows.where(F.size("shingles") > 0).groupBy("key").agg(F.first("shingles").alias("shingles"))
     a = one.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
     b = one.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    alike = found.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verified(num, den), "a bigint, b bigint")
+    alike = written(found.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(verified(num, den), "a bigint, b bigint"))
+    # only the texts of sets that are similar to another, or that several have, take part in what follows
+    every = rows.select("key", "copy", "id").distinct()
+    several = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = several.unionByName(alike.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    t = written(every.join(wanted, "key", "left_semi"))
     # of equal sets: exact copies of a text
-    t = rows.select("key", "copy", "id").distinct()
     copies = t.groupBy("key", "copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x")).where("n > 1")
     # of many copies of a text the first stands for all
     m = t.join(copies.where(F.col("n") > ALL_PAIRS), ["key", "copy"], "left").where(F.col("n").isNull() | (F.col("id") == F.col("x"))).select("key", "id").distinct()

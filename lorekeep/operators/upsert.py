@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import written
+
 #: A block of candidates, and one of the store, has about as many rows.
 BLOCK_ROWS = 4_096
 
@@ -35,16 +37,8 @@ def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return norm > 0, x[norm > 0] / norm[norm > 0, None]
 
 
-def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int | None = None) -> DataFrame:
-    """(id, match, similarity): for each candidate the most similar stored row of the same scope and project.
-
-    Both have (id, scope, project, embedding). Candidates and store are spread over blocks of each scope and project by the
-    hashes of their ids; each block of candidates meets each block of the store in a group of its own, and the best of the groups is
-    kept. No number of candidates is refused, unless ``most`` says so. Similarities are rounded to 9 digits; of equal
-    ones the smallest id is taken. Rows without a usable vector match none.
-    """
-    if most is not None and candidates.where(F.size("embedding") == dim).limit(most + 1).count() > most:
-        raise ValueError(f"a batch has at most {most} candidates")
+def _met(candidates: DataFrame, store: DataFrame, dim: int, above: float | None) -> DataFrame:
+    """(id, match, similarity) of pairs of the same scope and project: of each two blocks each candidate's best, or all of a similarity over ``above``, but no row with itself."""
 
     def rows(df: DataFrame) -> DataFrame:
         project = F.when(F.col("scope") != "global", F.col("project"))
@@ -70,15 +64,54 @@ def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int |
         if not len(x) or not len(y):
             return out
         sims = np.round(x @ y.T, 9)
-        k = sims.argmax(1)
-        return pd.DataFrame({"id": new["id"].to_numpy()[some], "match": old["id"].to_numpy()[others][k], "similarity": sims[np.arange(len(k)), k]})
+        ids, matches = new["id"].to_numpy()[some], old["id"].to_numpy()[others]
+        at, k = (np.arange(len(x)), sims.argmax(1)) if above is None else np.nonzero((sims > above) & (ids[:, None] != matches))
+        return pd.DataFrame({"id": ids[at], "match": matches[k], "similarity": sims[at, k]})
 
     both = spread(c, "n_c", "n_s", 0).unionByName(spread(s, "n_s", "n_c", 1))
-    found = both.groupBy("scope", "project", "n_c", "n_s").applyInPandas(meet, "id string, match string, similarity double")
-    top = found.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
+    return both.groupBy("scope", "project", "n_c", "n_s").applyInPandas(meet, "id string, match string, similarity double")
+
+
+def best_matches(candidates: DataFrame, store: DataFrame, dim: int, most: int | None = None) -> DataFrame:
+    """(id, match, similarity): for each candidate the most similar stored row of the same scope and project.
+
+    Both have (id, scope, project, embedding). Candidates and store are spread over blocks of each scope and project by the
+    hashes of their ids; each block of candidates meets each block of the store in a group of its own, and the best of the groups is
+    kept. No number of candidates is refused, unless ``most`` says so. Similarities are rounded to 9 digits; of equal
+    ones the smallest id is taken. Rows without a usable vector match none.
+    """
+    if most is not None and candidates.where(F.size("embedding") == dim).limit(most + 1).count() > most:
+        raise ValueError(f"a batch has at most {most} candidates")
+    top = _met(candidates, store, dim, None).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("b"))
     return top.select("id", F.col("b.match").alias("match"), (-F.col("b.s")).alias("similarity"))
 
 
+def decided_in_turn(candidates: DataFrame, store: DataFrame, dim: int, order: str, above: float = 0.92) -> DataFrame:
+    """(id, action, target, similarity) like :func:`decided`, candidates coming one after the other by (``order``, id): what one adds, those after it can update.
+
+    A candidate is decided when all earlier ones similar to it are, all such candidates at once, so the number of rounds is the longest
+    chain of similar candidates. Vectors count as they came.
+    """
+    own = candidates.select("id", F.struct(order, "id").alias("turn"))
+    pairs = _met(candidates, candidates, dim, above).join(own, "id").join(own.select(F.col("id").alias("match"), F.col("turn").alias("before")), "match")
+    pairs = written(pairs.where("before < turn").select("id", "match", "similarity"))
+    stored = best_matches(candidates, store, dim).where(F.col("similarity") > above)
+    # an undecided candidate has a null action; ``best`` is its best match so far
+    none = F.lit(None).cast("struct<s: double, match: string>")
+    found = stored.select("id", F.struct((-F.col("similarity")).alias("s"), "match").alias("best"))
+    state = written(candidates.select("id").join(found, "id", "left").select("id", F.lit(None).cast("string").alias("action"), "best"))
+    while state.where("action IS NULL").limit(1).count():
+        earlier = pairs.join(state.select(F.col("id").alias("match"), F.col("action").alias("theirs")), "match")
+        option = F.when(F.col("theirs") == "add", F.struct((-F.col("similarity")).alias("s"), "match"))
+        earlier = earlier.groupBy("id").agg(F.count_if(F.col("theirs").isNull()).alias("waits"), F.min(F.coalesce(option, none)).alias("added"))
+        now = state.join(earlier, "id", "left")
+        ready = F.col("action").isNull() & (F.coalesce("waits", F.lit(0)) == 0)
+        best = F.when(ready, F.coalesce(F.least("best", "added"), F.col("best"), F.col("added"))).otherwise(F.col("best"))
+        now = now.select("id", F.when(ready, F.when(best.isNull(), "add").otherwise("update")).otherwise(F.col("action")).alias("action"), best.alias("best"))
+        state = written(now)
+    return state.select("id", "action", F.col("best.match").alias("target"), (-F.col("best.s")).alias("similarity"))
+
+
 def decided(candidates: DataFrame, matches: DataFrame, above: float = 0.92) -> DataFrame:
     """(id, action, target, similarity): update the match where its similarity exceeds ``above``, else add."""
     c = candidates.select("id").join(matches, "id", "left")

@@ -233,6 +233,12 @@ def up_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.applied(new, store, upsert.decided(new, upsert.best_matches(new, store, 128), 0.92), ["created_at", "id"])
 
 
+def up_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the last three days' episodes if each sees what those before it added."""
+    new, store = _applied(spark, sf_dir)
+    return upsert.decided_in_turn(new, store, 128, "created_at")
+
+
 def up_forgotten_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left by scope after ids were forgotten (here those that graduate); what is no id of a record is refused."""
     gone = co_graduates(spark, sf_dir).select("id").unionByName(spark.range(1).select(F.lit("doc:1").alias("id"))).where(F.col("id").rlike(ID))
@@ -290,7 +296,7 @@ def st_timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (src_markdown, src_log_lines, src_states, api_cards, flt_snapshot, flt_session_ids, tx_line_paths, tx_named_paths, tx_session_paths, tx_session_home, hier_batch_inferred, tx_log_tail, tx_flushed, tx_context_text,
-        tx_project_days, agg_session_notes, agg_first_sentences, agg_checkpoint, agg_tagged, up_applied, up_forgotten_ids, up_unlinked, co_saved, st_replaced_files, st_topic_gate, st_timed_batches)
+        tx_project_days, agg_session_notes, agg_first_sentences, agg_checkpoint, agg_tagged, up_applied, up_in_turn, up_forgotten_ids, up_unlinked, co_saved, st_replaced_files, st_topic_gate, st_timed_batches)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NAMED = lambda c: rf"list_distinct(list_transform(list_concat(regexp_extract_all({c}, '\"(?:file_path|path|file|notebook_path)\"\s*:\s*\"(/[^\"]+)\"', 1), regexp_extract_all({c}, '/work/[A-Za-z0-9_./-]+')), lambda p: regexp_replace(p, '[.:;]+$', '')))"

@@ -68,15 +68,17 @@ def timed_batches(messages: DataFrame, late: str = "1 hour", first: int = FIRST,
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch, users, kept, since, seen = state.get if state.exists else (0, 0, [], -1, -1)
-        kept, out = list(kept), []
-        if state.hasTimedOut and not kept:
-            state.remove()
-            return
-        if state.hasTimedOut:
+        kept, out, now = list(kept), [], state.getCurrentWatermarkMs()
+        # a timer that is due counts before what has come, whether or not Spark has called it
+        if kept and now >= seen + idle_ms:
             batch, since = batch + 1, seen
             out.append((key[0], batch, kept[0], kept[-1], len(kept)))
             users, kept = 0, []
-        else:
+        if state.exists and not kept and now >= seen + forgotten_ms:
+            batch, users, since, seen = 0, 0, -1, -1
+            if state.hasTimedOut:
+                state.remove()
+        if not state.hasTimedOut:
             narrow = (pdf[["line_no"]].assign(is_user=pdf["speaker"] == "user", ms=pdf["at"].astype("datetime64[ms]").astype("int64")) for pdf in pdfs)
             for line, is_user, ms in zip(*[x.tolist() for x in _sorted(narrow, "is_user", "ms")]):
                 since = ms if since < 0 else since
@@ -86,8 +88,9 @@ def timed_batches(messages: DataFrame, late: str = "1 hour", first: int = FIRST,
                     batch, since = batch + 1, ms
                     out.append((key[0], batch, kept[0], line, len(kept)))
                     users, kept = 0, []
-        state.update((batch, users, kept, since, seen))
-        state.setTimeoutTimestamp(max(seen + (idle_ms if kept else forgotten_ms), state.getCurrentWatermarkMs() + 1))
+        if seen >= 0:
+            state.update((batch, users, kept, since, seen))
+            state.setTimeoutTimestamp(max(seen + (idle_ms if kept else forgotten_ms), now + 1))
         yield pd.DataFrame(out, columns=["session_id", "batch", "first_line", "last_line", "n_messages"])
 
     rows = messages.select("session_id", "line_no", "speaker", "at").withWatermark("at", late)

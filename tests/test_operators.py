@@ -147,3 +147,24 @@ def test_backlog_is_worked_off_before_what_follows(spark, tmp_path):
     stream = spark.readStream.schema("n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     sessions.drained(stream, then=lambda t: seen.append(t.count()))
     assert seen == [2]
+
+
+def test_candidates_of_a_batch_see_each_other(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 16))
+    row = lambda k, c: (f"r{k:03d}", "project", f"p{c % 2}", [float(x) for x in centres[c] + 0.12 * rng.standard_normal(16)], k)
+    schema = "id string, scope string, project string, embedding array<float>, at int"
+    old, new = [row(k, k % 3) for k in range(6)], [row(100 + k, int(rng.integers(0, 6))) for k in range(60)]
+    new.append(("none", "project", "p0", None, 999))
+    got = {r["id"]: (r["action"], r["target"]) for r in upsert.decided_in_turn(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), 16, "at").collect()}
+    unit = lambda v: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float))
+    visible, want = list(old), {}
+    for i, scope, project, v, _ in new:
+        sims = [] if v is None else sorted((-round(float(unit(v) @ unit(w)), 9), j) for j, s, p, w, _ in visible if (s, p) == (scope, project))
+        hit = sims and -sims[0][0] > 0.92
+        want[i] = ("update", sims[0][1]) if hit else ("add", None)
+        if not hit and v is not None:
+            visible.append((i, scope, project, v, 0))
+    assert got == want and sum(a == "update" and t >= "r100" for a, t in want.values()) > 5

@@ -406,6 +406,8 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int, leas
     return join_on_key(ids, sizes, "label", "inner").select("cluster_id", "id", "size")
 
 
+#: Medoids that a cluster is split around in one round, at most.
+MEDOIDS = 32
 #: Centres or medoids that are broadcast; more are joined with care for large clusters.
 BROADCAST_ROWS = 20_000
 
@@ -453,23 +455,46 @@ def described(df: DataFrame, clusters: DataFrame, id_col: str, vec_col: str, dim
     )
 
 
-def split_loose(df: DataFrame, clusters: DataFrame, id_col: str, vec_col: str, dim: int, least: float) -> DataFrame:
+def _apart(least: float):
+    """Of a cluster's candidates, in order of degree, those that no earlier one is near to; numbered from 1."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        near = np.stack(pdf["v"].to_list()) @ np.stack(pdf["v"].to_list()).T >= least
+        kept: list[int] = []
+        for i in range(len(pdf)):
+            if not near[i, kept].any():
+                kept.append(i)
+        own = pdf.iloc[kept]
+        return pd.DataFrame({"cluster_id": own["cluster_id"].to_numpy(), "k": np.arange(1, len(kept) + 1, dtype=np.int32), "medoid": own["id"].to_numpy(), "mv": own["v"].to_numpy()})
+
+    return run
+
+
+def split_loose(df: DataFrame, clusters: DataFrame, id_col: str, vec_col: str, dim: int, least: float, medoids: int = MEDOIDS) -> DataFrame:
     """(cluster_id, medoid, id): the loose clusters, split around their medoids.
 
-    The member of highest degree is the medoid; a cluster is loose if a member's cosine to it is below ``least``. The
-    medoid takes all members of at least that cosine, the others go on, until none is left. All clusters take a step at
-    once. Of equal degrees the smaller id is the medoid.
+    In a round each cluster's ``medoids`` members of highest degree are candidates, of equal degrees the smaller id first; those that no earlier candidate has a cosine of ``least`` to are
+    medoids. The first of them takes all members of at least that cosine, then the next, and what no medoid takes goes on to the next round, until none is
+    left. All clusters take a step at once, so rounds grow with the parts of the loosest cluster divided by ``medoids``. A cluster is loose if its first medoid doesn't take all.
     """
     left = _with_vectors(df, clusters, id_col, vec_col, dim)
-    out = loose = None
+    parts: list[DataFrame] = []
+    loose = None
     while left.limit(1).count():
         m = _per_cluster(left, _centres(left, dim).select("cluster_id", "centre")).withColumn("degree", F.round(_dot("v", "centre"), 9))
-        medoids = m.groupBy("cluster_id").agg(F.min(F.struct((-F.col("degree")).alias("d"), "id", "v")).alias("m")).select("cluster_id", F.col("m.id").alias("medoid"), F.col("m.v").alias("mv"))
-        near = durable(_per_cluster(left, durable(medoids)).withColumn("near", (F.col("id") == F.col("medoid")) | (_dot("v", "mv") >= least)).drop("mv"))
-        part = near.where("near").select("cluster_id", "medoid", "id")
-        left = durable(near.where("NOT near").select("cluster_id", "id", "v"))
-        if out is None:
-            loose = left.select("cluster_id").distinct()
-            part = part.join(loose, "cluster_id", "left_semi")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else left.select("cluster_id", F.col("id").alias("medoid"), "id")
+        place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.col("degree").desc(), "id"))
+        top = m.withColumn("k", place).where(F.col("k") <= medoids).select("cluster_id", "k", "id", "v")
+        chosen = durable(top.groupBy("cluster_id").applyInPandas(_apart(least), "cluster_id string, k int, medoid string, mv array<double>"))
+        near = _per_cluster(left, chosen).where((F.col("id") == F.col("medoid")) | (_dot("v", "mv") >= least))
+        part = durable(near.groupBy("cluster_id", "id").agg(F.min(F.struct("k", "medoid")).alias("t")).select("cluster_id", "t.medoid", "id", "t.k"))
+        left = durable(left.join(part.select("cluster_id", "id"), ["cluster_id", "id"], "left_anti"))
+        if loose is None:
+            loose = left.select("cluster_id").unionByName(part.where("k > 1").select("cluster_id")).distinct()
+        parts.append(part.select("cluster_id", "medoid", "id"))
+    if not parts:
+        return left.select("cluster_id", F.col("id").alias("medoid"), "id")
+    out = parts[0].join(loose, "cluster_id", "left_semi")
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

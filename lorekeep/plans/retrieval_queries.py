@@ -63,14 +63,14 @@ def ir_search_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ir_recollect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each session's newest episode recollects, if it opens a new topic: the gate, candidates, rank fusion and the similarity bound in one go."""
+    """What each project's newest episode recollects, if it opens a new topic: the gate, candidates, rank fusion and the similarity bound in one go."""
     from lorekeep.functions.vectors import cosine
 
-    e = episodes(spark, sf_dir, "session_id", "summary", "importance", "embedding", "created_at", "accessed_at", "access_count")
-    two = top_per_key(e.where("embedding IS NOT NULL").select("session_id", "id", "summary", "embedding", "created_at"), "session_id", [F.col("created_at").desc(), F.col("id").desc()], 2)
-    two = two.groupBy("session_id").agg(F.max(F.when(F.col("rank") == 1, F.col("summary"))).alias("summary"), *[F.max(F.when(F.col("rank") == k, F.col("embedding"))).alias(n) for k, n in ((1, "embedding"), (2, "before"))])
+    e = episodes(spark, sf_dir, "project_path", "summary", "importance", "embedding", "created_at", "accessed_at", "access_count")
+    two = top_per_key(e.where("embedding IS NOT NULL AND project_path IS NOT NULL").select("project_path", "id", "summary", "embedding", "created_at"), "project_path", [F.col("created_at").desc(), F.col("id").desc()], 2)
+    two = two.groupBy("project_path").agg(F.max(F.when(F.col("rank") == 1, F.col("summary"))).alias("summary"), *[F.max(F.when(F.col("rank") == k, F.col("embedding"))).alias(n) for k, n in ((1, "embedding"), (2, "before"))])
     new = two.where(F.col("before").isNull() | (cosine(F.col("embedding"), F.col("before")) <= 0.85))
-    q = written(new.select(F.col("session_id").alias("query_id"), query_terms(F.substring("summary", 1, 6000), True, 20).alias("terms"), "embedding"))
+    q = written(new.select(F.col("project_path").alias("query_id"), query_terms(F.substring("summary", 1, 6000), True, 20).alias("terms"), "embedding"))
     return retrieval.recollections(q, e, episode_tokens(spark, sf_dir))
 
 
@@ -214,8 +214,8 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "ir_recall": _recall_sql(5),
     "ir_recall_touched": _recall_sql(5, f"DISTINCT id, CAST({NOW} AS BIGINT) AS accessed_at"),
     "ir_fused": f"WITH RECURSIVE {UP}, {E}, {questions_sql(STOP_WORDS, 20)}, {_FUSED}",
-    "ir_recollect": f"""WITH {E}, w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS k FROM e WHERE embedding IS NOT NULL),
-q AS (SELECT a.session_id AS query_id, {terms_sql("substring(a.summary, 1, 6000)", STOP_WORDS, 20)} AS terms, a.embedding FROM w a LEFT JOIN w b ON b.session_id = a.session_id AND b.k = 2
+    "ir_recollect": f"""WITH {E}, w AS (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY created_at DESC, id DESC) AS k FROM e WHERE embedding IS NOT NULL AND project_path IS NOT NULL),
+q AS (SELECT a.project_path AS query_id, {terms_sql("substring(a.summary, 1, 6000)", STOP_WORDS, 20)} AS terms, a.embedding FROM w a LEFT JOIN w b ON b.project_path = a.project_path AND b.k = 2
   WHERE a.k = 1 AND (b.id IS NULL OR {cosine_sql("a.embedding", "b.embedding")} <= 0.85)), {_FUSED.replace("SELECT * FROM (", "SELECT query_id, id, similarity, rank FROM (")}""",
     "ir_search_or_recent": f"""{_chunk_sql(True)}, {_SEARCH_TAIL}, p AS (SELECT * FROM c WHERE embedding IS NOT NULL ORDER BY updated_at DESC, id LIMIT 30),
 v AS (SELECT query_id, p.id, path, round({cosine_sql("p.embedding", "q.embedding")} * {AGED}, 9) AS score FROM q, p WHERE query_id NOT IN (SELECT query_id FROM s))

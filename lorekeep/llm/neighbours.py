@@ -15,12 +15,12 @@ each of which meet in a task of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,22 +113,25 @@ def fit(df: DataFrame, vec_col: str, dim: int) -> Index:
 
 
 def _emit(index: Index, dim: int, probes: int):
-    """Packs a task's records for the blocks of cells: codes in their own cell, queries in all that they look into."""
+    """Packs a task's records for the blocks of cells: codes in their own cell, queries (rows that are asked for) in all that they look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         for b in batches:
-            _, x = usable(b.column(0), dim)
-            key = keys(x)
-            _, first = np.unique(key, return_index=True)
-            first = first[[k not in seen for k in key[first].tolist()]]
-            seen.update(key[first].tolist())
+            rows, x = usable(b.column(0), dim)
+            key, asked = keys(x), b.column(1).fill_null(False).to_numpy(zero_copy_only=False)[rows]
+            # one of equal vectors, one that is asked for if there is one
+            order = np.lexsort((~asked, key))
+            first = order[np.flatnonzero(np.append(True, np.diff(key[order]) != 0))] if len(key) else order
+            first = first[[k not in seen and (k[0], True) not in seen for k in zip(key[first].tolist(), asked[first].tolist())]]
+            seen.update(zip(key[first].tolist(), asked[first].tolist()))
             if len(seen) > 1_000_000:  # forgetting only sends a vector again
                 seen.clear()
             if not len(first):
                 continue
-            key, x = key[first], x[first].astype(np.float32)
-            cells, sims = index.probes(x, probes)
+            key, x, asked = key[first], x[first].astype(np.float32), np.flatnonzero(asked[first])
+            cells, sims = index.probes(x, 1)
+            q_cells, q_sims = index.probes(x[asked], probes)
             turned = x @ index.rotation
             home = cells[:, 0]
             residual = turned - index.rotated[home]
@@ -140,8 +143,8 @@ def _emit(index: Index, dim: int, probes: int):
             block = (key.view(np.uint64) % index.blocks[home].astype(np.uint64)).astype(np.int64)
             n = len(key)
             # queries, once for each block of each cell
-            at = np.repeat(np.arange(n), cells.shape[1])
-            cell, sim = cells.ravel(), sims.ravel()
+            at = np.repeat(asked, q_cells.shape[1])
+            cell, sim = q_cells.ravel(), q_sims.ravel()
             times = index.blocks[cell]
             at, cell_q, sim_q = np.repeat(at, times), np.repeat(cell, times), np.repeat(sim, times)
             block_q = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
@@ -289,16 +292,17 @@ def exact_cosines(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, cosine double")
 
 
-def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, least: float = -1.0, probes: int = PROBES) -> DataFrame:
-    """(id, neighbour, cosine, rank): for each row with a usable vector its ``k`` most similar other rows of cosine ``least`` or more.
+def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, least: float = -1.0, probes: int = PROBES, asked: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, neighbour, cosine, rank): for each row with a usable vector (and an id for which ``asked`` holds) its ``k`` most similar other rows, of all, of cosine ``least`` or more.
 
     Usable: ``dim`` finite elements, not all zero. Rows with the same id are one row, rows without id none; ids must be
     strings. Of equally similar rows the smaller id comes first. Approximate: a neighbour is missed where no cell holds
-    one of the two and is looked into by the other. Other columns aren't read; no usable vector, no rows.
+    one of the two and is looked into by the other: more ``probes`` find more. Other columns aren't read; no usable vector, no rows.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__vec"))
     index = fit(rows, "__vec", dim)
-    cells = rows.select("__vec").mapInArrow(_emit(index, dim, probes), "cell bigint, block bigint, blob binary")
+    asked = asked or (lambda i: F.lit(True))
+    cells = rows.select("__vec", asked(F.col("__id")).alias("__asked")).mapInArrow(_emit(index, dim, probes), "cell bigint, block bigint, blob binary")
     met = cells.groupBy("cell", "block").applyInPandas(_meet(index, dim, k, least), "a bigint, b bigint, low float, high float")
     # what can still be among a query's k best of all its cells
     met = met.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.col("low").desc())))
@@ -314,7 +318,7 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, lea
     other = near.join(first.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), "neighbour", "cosine")
     both = other.unionByName(first.select("key", "neighbour", F.lit(1.0).alias("cosine")))
     lists = durable(both.groupBy("key").agg(F.collect_list(F.struct("cosine", "neighbour")).alias("all")))
-    each = join_on_key(ids, lists, "key", "inner").select("id", F.explode("all").alias("n")).select("id", "n.neighbour", "n.cosine")
+    each = join_on_key(ids.where(asked(F.col("id"))), lists, "key", "inner").select("id", F.explode("all").alias("n")).select("id", "n.neighbour", "n.cosine")
     return _first(each.where(F.col("id") != F.col("neighbour")), "id", [F.col("cosine").desc(), F.col("neighbour")], k, "rank")
 
 

@@ -30,6 +30,7 @@ from lorekeep.session import durable, written
 #: Centres are fitted on about PER_CENTRE vectors each, in all on at least LEAST_SAMPLE and at most MOST_SAMPLE.
 PER_CENTRE, LEAST_SAMPLE, MOST_SAMPLE = 16, 32_768, 262_144
 PROBES = 6
+LEAST_CELL = 64
 #: A block of a cell has about as many vectors, and about as many queries.
 BLOCK, QUERIES = 16_384, 131_072
 #: Standard deviations in the error bound (the value of the method's paper).
@@ -73,7 +74,8 @@ def centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 
 def centres_for(rows: int) -> int:
-    return max(1, int(np.sqrt(PROBES * rows)))
+    """The root of PROBES times the rows, which balances finding cells and looking through them; never fewer than LEAST_CELL vectors a cell."""
+    return max(1, int(min(np.sqrt(PROBES * rows), rows / LEAST_CELL)))
 
 
 class Index:

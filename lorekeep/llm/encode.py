@@ -9,6 +9,7 @@ position is tried twice, so the time is linear. Pieces repeat, so each worker re
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorekeep.llm.text_runs import LETTER, NUMBER, SPACE, Runs, chunks
 
@@ -268,3 +270,33 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.selectExpr(f"`{id_col}` AS __id", f"`{ids_col}` AS __ids").mapInArrow(run, f"__id {kind}, text string").withColumnRenamed("__id", id_col)
+
+
+def token_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, step: int = 320, path: str = VOCABULARY) -> DataFrame:
+    """(``id_col``, ``piece``, ``n_tokens``, ``start_line``, ``end_line``, ``hash``, ``text``): pieces of ``size`` tokens of each text, a new one every ``step`` until one reaches the end.
+
+    Pieces count from 0, lines from 1; ``hash`` is the piece's SHA-256. A token that is part of a character comes out as U+FFFD at a piece's edge. Null and
+    empty texts have no piece; repeated rows come out as often as they came in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Decoder(path)
+        breaks = np.append(0, np.cumsum(table.bytes == 0x0A))
+        n_breaks = breaks[table.offsets[1:]] - breaks[table.offsets[:-1]]
+        for b in batches:
+            rows: list[tuple] = []
+            for k, ids in enumerate(b.column(1).to_pylist()):
+                ids = np.array(ids, np.int64)
+                lines = 1 + np.append(0, np.cumsum(n_breaks[ids]))
+                for piece in range(max(0, -(-(len(ids) - size) // step)) + 1 if len(ids) else 0):
+                    own = ids[piece * step : piece * step + size]
+                    text = table.decode(own).decode("utf-8", "replace")
+                    begin = piece * step
+                    rows.append((k, piece, len(own), int(lines[begin]), int(lines[begin + len(own)]), hashlib.sha256(text.encode()).hexdigest(), text))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int32()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], kinds)]], ["__id", "piece", "n_tokens", "start_line", "end_line", "hash", "text"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    ids = encode(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", path)
+    return ids.mapInArrow(run, f"__id {kind}, piece int, n_tokens int, start_line int, end_line int, hash string, text string").withColumnRenamed("__id", id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.jsonl import ISO
 from lorekeep.llm.clusters import described, similarity_clusters, split_loose
 from lorekeep.llm.conversations import conversations
-from lorekeep.llm.encode import encode
+from lorekeep.llm.encode import decode, encode, token_chunks
 from lorekeep.llm.leak import COVERAGE, TILE, WORDS, leaks
 from lorekeep.llm.neardup import members, similar_pairs
 from lorekeep.llm.neighbours import most_similar
@@ -86,6 +86,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, from its ids."""
+    return decode(p6_ids(spark, sf_dir))
+
+
+def p6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in overlapping pieces of 400 tokens."""
+    return token_chunks(table(spark, sf_dir, "documents"))
+
+
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every item that it holds a passage of, in one piece or in several that cover half of it: tiles, words and coverage."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), tile=TILE, coverage=COVERAGE)
@@ -114,7 +124,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.col("n_signs") >= 2).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p4_members, p5_found, p5_described, p5_parts, p6_ids, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_turns, p4_found, p4_members, p5_found, p5_described, p5_parts, p6_ids, p6_decoded, p6_chunks, p7_found, p7_pairs, p7_items, p8_found, p8_quality)}
 
 _BLANKS = "[ \\t\\r\\n]"
 
@@ -156,4 +166,5 @@ c AS (SELECT * FROM t WHERE id IS NOT NULL AND len(regexp_extract_all(lower(text
 SELECT field, id, min(id) OVER w AS class_id, count(*) OVER w AS n_copies FROM c WINDOW w AS (PARTITION BY field, text)"""
 
 
-SQL: dict[str, str] = {"p4_members": _P4_MEMBERS, "p3_found": _p3("session_id, turn, entry_id"), "p3_turns": _p3("session_id, turn, entry_id, s AS speaker, at_us, txt AS text"), "p7_found": _P7, "p8_found": _P8}
+SQL: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p4_members": _P4_MEMBERS, "p3_found": _p3("session_id, turn, entry_id"), "p3_turns": _p3("session_id, turn, entry_id, s AS speaker, at_us, txt AS text"), "p7_found": _P7, "p8_found": _P8}

@@ -35,3 +35,21 @@ def test_nulls_repeats_and_other_columns(spark, reference):
     assert encode(df.where("false")).count() == 0
     back = {r["doc_id"]: r["text"] for r in decode(encode(df)).collect()}
     assert back[3] == "Hello there" and back[1] == ""
+
+
+def test_chunks_cover_the_text_and_know_their_lines(spark):
+    from lorekeep.llm.encode import token_chunks
+
+    text = "\n".join(f"line {k} has some words, and the number {k * 37}" for k in range(300))
+    rows = [(1, text, "x"), (2, "short", "y"), (3, None, "z"), (4, "", "z"), (2, "short", "y")]
+    got = token_chunks(spark.createDataFrame(rows, "doc_id long, text string, piece string")).orderBy("doc_id", "piece").collect()
+    assert [r["text"] for r in got if r["doc_id"] == 2] == ["short", "short"] and {r["doc_id"] for r in got} == {1, 2}
+    one = [r for r in got if r["doc_id"] == 1]
+    assert [r["piece"] for r in one] == list(range(len(one))) and all(r["n_tokens"] == 400 for r in one[:-1]) and one[-1]["n_tokens"] <= 400
+    at = 0
+    for r in one:
+        at = text.index(r["text"], at)
+        assert r["start_line"] == 1 + text[:at].count("\n") and r["end_line"] == 1 + text[: at + len(r["text"])].count("\n")
+    assert at + len(one[-1]["text"]) == len(text)
+    n = {size: len([r for r in token_chunks(spark.createDataFrame(rows[:1], "doc_id long, text string, piece string"), size=size, step=size).collect()]) for size in (50, 10**6)}
+    assert n[10**6] == 1 and n[50] > 10

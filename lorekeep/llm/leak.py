@@ -29,6 +29,7 @@ BLOCK_WORDS = 2_000_000
 #: Words of a tile and share of an item for passages that were reordered.
 TILE, COVERAGE = 6, 0.5
 _FILTER_BITS = 20
+_AWAY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
@@ -63,23 +64,48 @@ class Seeds:
             item = np.repeat(own, [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h)) for h in hashes])
             flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
+            before, after = runs(flat, item)
             maybe = np.zeros(1 << _FILTER_BITS, bool)
             maybe[flat & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            self.tables[length] = (flat[order], item[order], place[order], maybe)
+            self.tables[length] = [maybe]
+            for some, away in ((np.arange(len(flat)), before), (np.flatnonzero(before + after), after)):
+                key = flat[some] + away[some].astype(np.uint64) * _AWAY
+                order = some[np.argsort(key, kind="stable")]
+                self.tables[length].append((np.sort(key), item[order], place[order], before[order]))
 
     def matches(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window length, texts, items, positions in the text, positions in the item) of all seeds."""
-        for length, (sorted_hashes, item, place, maybe) in self.tables.items():
+        """(window length, texts, items, positions in the text, positions in the item) of the seeds.
+
+        Where one window repeats itself, as in a text of one word, only seeds equally far from the begin, or from the end, of both runs
+        count: the longest common stretch is among them, and their number doesn't grow with the product of the runs.
+        """
+        for length, (maybe, *tables) in self.tables.items():
             h = windows(w.hashes, length)
             at = np.flatnonzero(maybe[h & np.uint64((1 << _FILTER_BITS) - 1)])
             at = at[np.searchsorted(w.upto, at, "right") == np.searchsorted(w.upto, at + length - 1, "right")]
-            low, high = np.searchsorted(sorted_hashes, h[at], "left"), np.searchsorted(sorted_hashes, h[at], "right")
-            n = high - low
-            index = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = np.repeat(at, n)
             text = np.searchsorted(w.upto, at, "right")
-            yield length, text, item[index], at - w.first[text], place[index]
+            # positions that are no neighbours, or in two texts, are of different runs
+            before, after = runs(h[at], (at - np.arange(len(at))) * (len(w.upto) + 1) + text)
+            found = []
+            for some, away, (keys, item, place, item_before) in ((np.arange(len(at)), before, tables[0]), (np.flatnonzero(before + after), after, tables[1])):
+                key = h[at[some]] + away[some].astype(np.uint64) * _AWAY
+                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                n = high - low
+                index = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                own = np.repeat(some, n)
+                if found:  # those equally far from the begin were found already
+                    index, own = index[item_before[index] != before[own]], own[item_before[index] != before[own]]
+                found.append((text[own], item[index], at[own] - w.first[text[own]], place[index]))
+            yield length, *(np.concatenate(x) for x in zip(*found))
+
+
+def runs(hashes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some windows in a row how many equal ones of its group come directly before and after it."""
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])) if len(hashes) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(hashes)))
+    before = np.arange(len(hashes)) - np.repeat(begin, size)
+    return before, np.repeat(size, size) - 1 - before
 
 
 def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:

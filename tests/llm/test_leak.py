@@ -48,3 +48,15 @@ def test_a_passage_in_short_pieces_leaks_by_coverage(spark):
     assert [r["doc_id"] for r in leaks(docs, items).collect()] == [3]
     got = {r["doc_id"]: r for r in leaks(docs, items, tile=6, coverage=0.5).collect()}
     assert set(got) == {1, 3} and got[1]["n_tiles"] == 4 and got[1]["longest_tile"] == 6 and got[1]["coverage"] == pytest.approx(24 / 26)
+
+
+def test_texts_of_one_word(spark):
+    docs = spark.createDataFrame([(1, "again " * 60_000), (2, "x " + "again " * 15 + "y"), (3, "again " * 5)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "again " * 1000), (6, "x " + "again " * 20 + "y"), (7, "z " + "again " * 13)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["longest_tile"] for r in leaks(docs, items, tile=6).collect()}
+    assert got == {(1, 5): 1000, (1, 6): 20, (1, 7): 13, (2, 5): 15, (2, 6): 16, (2, 7): 13}
+
+
+def test_a_word_that_ends_one_text_and_begins_the_next(spark):
+    docs = spark.createDataFrame([(k, "word") for k in range(5)], "doc_id long, text string").coalesce(1)
+    assert leaks(docs, spark.createDataFrame([(1, "Word")], "item_id long, text string")).count() == 5

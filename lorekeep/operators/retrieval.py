@@ -49,13 +49,19 @@ def clamped(limit: int, most: int = 50) -> int:
     return max(1, min(most, limit))
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids``: a semi join, which Spark applies before the rows of one id are made one, so that only what is wanted is shuffled."""
+    return rows.join(if_small(ids.select("id").distinct()), "id", "left_semi")
+
+
 def search(questions: DataFrame, chunks: DataFrame, tokens: DataFrame, now: int, limit: int = 10, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, id, path, project_path, text, score, rank): BM25's ``3 * limit`` best chunks, cut to the scope, scored by
     0.7 cosine + 0.3 normalised BM25 and by age (evergreen files don't age). The scope is applied after the cut, so fewer may remain.
     """
     limit = clamped(limit)
-    hits = bm25.top(bm25.scores(questions, tokens), 3 * limit) if hits is None else hits
-    c = hits.withColumnRenamed("doc_id", "id").join(chunks, "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
+    hits = written(bm25.top(bm25.scores(questions, tokens), 3 * limit)) if hits is None else hits
+    hits = hits.withColumnRenamed("doc_id", "id")
+    c = hits.join(only(chunks, hits), "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
     c = c.where(in_family(F.col("project_path"), F.col("family")) | F.col("project_path").isNull())
     c = c.withColumn("lexical", normalised(F.col("bm25"), 1.0))
     age = F.when(evergreen(F.col("path")), F.lit(1.0)).otherwise(decay(F.col("updated_at"), now))
@@ -80,9 +86,9 @@ def search_or_recent(questions: DataFrame, chunks: DataFrame, tokens: DataFrame,
     return found.select("query_id", "id", "path", "score", "rank").unionByName(recent_by_vector(others, chunks, now, limit))
 
 
-def recollections(questions: DataFrame, episodes: DataFrame, tokens: DataFrame) -> DataFrame:
+def recollections(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, embedded: DataFrame) -> DataFrame:
     """(query_id, id, similarity, rank), as JSON files in a folder for each question in the shared folder: rank fusion, cut by similarity. A question that finds nothing has no folder."""
-    found = fused(questions, episodes, tokens).select("query_id", "id", "similarity", "rank")
+    found = fused(questions, episodes, tokens, embedded).select("query_id", "id", "similarity", "rank")
     path = f"{shared_dir(questions.sparkSession)}/recollections-{uuid.uuid4().hex}"
     found.repartition("query_id").write.partitionBy("query_id").json(path)
     return questions.sparkSession.read.schema(found.schema).json(path).select(found.columns)
@@ -115,17 +121,17 @@ def diversified(results: DataFrame, limit: int = 10, balance: float = 0.7) -> Da
     return narrow.groupBy("query_id").applyInPandas(choose, "query_id string, id string, score double, rank int")
 
 
-def recall(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, now: int, limit: int = 5) -> DataFrame:
-    """(query_id, id, score, rank) of episodes: BM25's ``3 * limit`` best in scope and the ``3 * limit`` newest with a vector.
+def recall(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, embedded: DataFrame, now: int, limit: int = 5) -> DataFrame:
+    """(query_id, id, score, rank) of episodes: BM25's ``3 * limit`` best in scope and the ``3 * limit`` newest with a vector. ``embedded`` has (id, created_at) of those.
 
     0.5 relevance (0.7 cosine + 0.3 normalised BM25, at least 0.3 for important ones) + 0.3 age + 0.2 use.
     """
     limit = clamped(limit)
     hits = bm25.top(bm25.scores(questions, tokens), 3 * limit).withColumnRenamed("doc_id", "id")
-    newest = episodes.where("embedding IS NOT NULL").orderBy(F.col("created_at").desc(), "id").limit(3 * limit).select("id")
+    newest = embedded.orderBy(F.col("created_at").desc(), "id").limit(3 * limit).select("id")
     pool = questions.select("query_id").crossJoin(F.broadcast(newest)).withColumn("bm25", F.lit(None).cast("double"))
-    both = hits.select("query_id", "id", "bm25").unionByName(pool).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
-    c = both.join(episodes, "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
+    both = written(hits.select("query_id", "id", "bm25").unionByName(pool).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25")))
+    c = both.join(only(episodes, both), "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked"), "family"), QUESTIONS), "query_id")
     c = c.where((F.col("scope") == "global") | in_family(F.col("project_path"), F.col("family")))
     relevance = 0.7 * cosine(F.col("embedding"), F.col("asked")) + 0.3 * F.coalesce(F.col("lexical"), F.lit(0.0))
     relevance = F.when(F.col("importance") == "high", F.greatest(relevance, F.lit(0.3))).otherwise(relevance)
@@ -134,17 +140,17 @@ def recall(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, now: in
     return ranked(c.select("query_id", "id", F.round(0.5 * relevance + 0.3 * decay(F.col("created_at"), now) + 0.2 * used, 9).alias("score")), limit)
 
 
-def fused(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, pool: int = 200, hits: int = 50, k: int = 60, limit: int = 3, least: float = 0.25) -> DataFrame:
+def fused(questions: DataFrame, episodes: DataFrame, tokens: DataFrame, embedded: DataFrame, pool: int = 200, hits: int = 50, k: int = 60, limit: int = 3, least: float = 0.25) -> DataFrame:
     """(query_id, id, similarity, score, rank): reciprocal rank fusion of the lexical, vector, recency and use ranks.
 
-    Candidates are the ``pool`` episodes read last that have a vector, and the first ``hits`` lexical hits (by id) beside
+    Candidates are the ``pool`` episodes read last that have a vector (``embedded``: id, accessed_at), and the first ``hits`` lexical hits (by id) beside
     them. Equal values share a rank and the next is skipped. The similarity bound is applied after the cut to ``limit``.
     """
     lexical = bm25.scores(questions, tokens).withColumn("place", F.row_number().over(by_query().orderBy("doc_id"))).where(F.col("place") <= hits).select("query_id", F.col("doc_id").alias("id"), "bm25")
-    latest = episodes.where("embedding IS NOT NULL").orderBy(F.col("accessed_at").desc(), "id").limit(pool).select("id")
+    latest = embedded.orderBy(F.col("accessed_at").desc(), "id").limit(pool).select("id")
     pairs = questions.select("query_id").crossJoin(F.broadcast(latest)).withColumn("bm25", F.lit(None).cast("double"))
-    both = lexical.unionByName(pairs).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"))
-    c = both.join(episodes.where("embedding IS NOT NULL"), "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked")), QUESTIONS), "query_id")
+    both = written(lexical.unionByName(pairs).groupBy("query_id", "id").agg(F.max("bm25").alias("bm25")))
+    c = both.join(only(episodes, both).where("embedding IS NOT NULL"), "id").join(if_small(questions.select("query_id", F.col("embedding").alias("asked")), QUESTIONS), "query_id")
     c = c.select("query_id", "id", "bm25", "importance", "created_at", "access_count", cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
     rank = lambda *o: F.rank().over(by_query().orderBy(*o))
     c = c.withColumns({

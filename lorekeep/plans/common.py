@@ -13,8 +13,9 @@ from lorekeep.sources.tables import one_per_id, table
 NOW = 1735689600000
 
 
-def episodes(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    e = table(spark, sf_dir, "episodes")
+def episodes(spark: SparkSession, sf_dir: str, *cols: str, where: str = "true") -> DataFrame:
+    """One row per id. ``where`` may be on what rows sent again have alike; it is applied to the rows as they are, so its columns never reach the shuffle."""
+    e = table(spark, sf_dir, "episodes").where(where)
     return one_per_id(e.select("id", *cols) if cols else e, latest=("accessed_at", "access_count"))
 
 
@@ -35,7 +36,8 @@ def episode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str, stop_words: bool = False, most: int | None = None, every: bool = False) -> DataFrame:
     """One question for each described project (or for ``every`` project): its description; its vector is that of the project's first episode that has one."""
     p = table(spark, sf_dir, "projects").where("true" if every else "description <> ''")
-    first = episodes(spark, sf_dir, "project_path", "created_at", "embedding").where(F.size("embedding") == 128)
+    # rows that are sent again have the same vector, so they needn't be made one first
+    first = table(spark, sf_dir, "episodes").where((F.size("embedding") == 128) & F.col("id").isNotNull())
     first = first.groupBy("project_path").agg(F.min_by("embedding", F.struct("created_at", "id")).alias("embedding"))
     q = p.join(first, F.col("full_path") == F.col("project_path"), "left").join(hierarchy.families(table(spark, sf_dir, "projects")), "name", "left")
     return written(q.select(F.col("full_path").alias("query_id"), query_terms(F.col("description"), stop_words, most).alias("terms"), "embedding", "family"))

@@ -45,15 +45,19 @@ def ir_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).where("rank <= 3").select("query_id", "rank", line.alias("line"))
 
 
+def _embedded(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    return episodes(spark, sf_dir, at, where="embedding IS NOT NULL")
+
+
 def ir_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = episodes(spark, sf_dir, "scope", "project_path", "importance", "embedding", "created_at", "access_count")
-    return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), NOW)
+    return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), _embedded(spark, sf_dir, "created_at"), NOW)
 
 
 def ir_recall_most(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall with a limit beyond what is allowed: it gives 50 at most."""
     e = episodes(spark, sf_dir, "scope", "project_path", "importance", "embedding", "created_at", "access_count")
-    return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), NOW, 1000)
+    return retrieval.recall(questions(spark, sf_dir), e, episode_tokens(spark, sf_dir), _embedded(spark, sf_dir, "created_at"), NOW, 1000)
 
 
 def ir_search_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ def ir_recollect(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = two.groupBy("project_path").agg(F.max(F.when(F.col("rank") == 1, F.col("summary"))).alias("summary"), *[F.max(F.when(F.col("rank") == k, F.col("embedding"))).alias(n) for k, n in ((1, "embedding"), (2, "before"))])
     new = two.where(F.col("before").isNull() | (cosine(F.col("embedding"), F.col("before")) <= 0.85))
     q = written(new.select(F.col("project_path").alias("query_id"), query_terms(F.substring("summary", 1, 6000), True, 20).alias("terms"), "embedding"))
-    return retrieval.recollections(q, e, episode_tokens(spark, sf_dir))
+    return retrieval.recollections(q, e, episode_tokens(spark, sf_dir), _embedded(spark, sf_dir, "accessed_at"))
 
 
 def ir_recall_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def ir_recall_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ir_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = episodes(spark, sf_dir, "importance", "embedding", "created_at", "accessed_at", "access_count")
-    return retrieval.fused(questions(spark, sf_dir, True, 20), e, episode_tokens(spark, sf_dir))
+    return retrieval.fused(questions(spark, sf_dir, True, 20), e, episode_tokens(spark, sf_dir), _embedded(spark, sf_dir, "accessed_at"))
 
 
 def ir_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,15 @@ BANDS, WIDTH, VALUES = 12, 3, 64
 INNER, FURTHER = 60, 3.6
 #: A candidate's least Jaccard similarity. At a cosine of 0.75 fewer than one pair in 10,000 has less (mean 0.37, standard deviation 0.04).
 LEAST_JACCARD = 0.2
-#: Groups up to the last size are compared as a whole, together with others of about the same size.
-SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 18, 21, 24, 28, 32, 37, 43, 50, 58, 67, 77, 88, 101, 116, 133, 153, 176, 202, 232, 256)
-#: Bytes of 8-bit vectors up to which a task keeps them as floats too, which only saves time.
-WIDENED = 32 << 20
+#: Groups up to the last size are compared as a whole, together with others of about the same size; those of up to PAIRED records pair by pair, larger ones as products of matrices.
+SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 20, 24, 28, 32, 36, 40, 44, 48, 56, 64, 72, 80, 88, 100, 116, 132, 152, 176, 200, 232, 256)
+PAIRED = 10
 #: Larger groups are compared in blocks of as many records.
-BLOCK = 2048
+BLOCK = 1024
+#: Rows and floats that are worked on at once: about what a processor's own cache holds, as tasks share the memory's bandwidth.
+ROWS, FLOATS = 1024, 1 << 18
+#: Found pairs that wait for being joined.
+WAITING = 1 << 17
 #: Up to as many records in a task WIDTH values are enough; one more for each 16 times as many.
 NARROW_ROWS = 150_000
 #: Small buckets share parts of about PART_ROWS records; buckets of more than BUCKET_ROWS are cut into blocks.
@@ -60,7 +63,10 @@ class Scheme:
         self.rotation = np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(rotations)], 1).astype(np.float32)
         self.universe = 2 * dim * rotations
         self.size = max(1, dim * rotations // 4)
-        self.orders = np.stack([rng.permutation(self.universe) for _ in range(BANDS * (1 + VALUES))]).astype(np.uint16)
+        orders = np.stack([rng.permutation(self.universe) for _ in range(BANDS * (1 + VALUES))]).astype(np.uint16)
+        # a row for each token with its ranks in all orders of a kind, so that one look-up gives them all
+        self.of_bands = np.ascontiguousarray(orders[:BANDS].T)
+        self.of_values = [np.ascontiguousarray(np.minimum(o, 255).astype(np.uint8).T) for o in orders[BANDS:].reshape(BANDS, VALUES, -1)]
 
     def tokens(self, x: np.ndarray) -> np.ndarray:
         """The set of each vector: coordinates and signs."""
@@ -68,29 +74,45 @@ class Scheme:
         size = np.abs(y)
         least = np.partition(size, y.shape[1] - self.size, axis=1)[:, y.shape[1] - self.size, None]
         chosen = size >= least
-        # where several are as large as the least, some are too many
-        tied = np.flatnonzero(chosen.sum(1) != self.size)
-        chosen[tied] = False
-        for i in tied.tolist():
-            chosen[i, np.argpartition(-size[i], self.size - 1)[: self.size]] = True
-        at = np.flatnonzero(chosen).reshape(len(x), self.size) % y.shape[1]
-        return 2 * at + (np.take_along_axis(y, at, 1) > 0)
+        at = np.flatnonzero(chosen)
+        if len(at) != len(x) * self.size:  # where several are as large as the least, some are too many
+            tied = np.flatnonzero(chosen.sum(1) != self.size)
+            chosen[tied] = False
+            for i in tied.tolist():
+                chosen[i, np.argpartition(-size[i], self.size - 1)[: self.size]] = True
+            at = np.flatnonzero(chosen)
+        tokens = at.reshape(len(x), self.size) - np.arange(len(x))[:, None] * y.shape[1]
+        tokens *= 2
+        tokens += y.ravel()[at].reshape(tokens.shape) > 0
+        return tokens
+
+    def _least(self, ranks: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The least rank of each row's tokens in each order."""
+        across = np.ascontiguousarray(tokens.T)
+        out = np.take(ranks, across[0], axis=0)
+        other = np.empty_like(out)
+        for own in across[1:]:
+            np.take(ranks, own, axis=0, out=other, mode="clip")
+            np.minimum(out, other, out=out)
+        return out
 
     def bands(self, tokens: np.ndarray) -> np.ndarray:
         """The MinHash of each band, one column for each."""
-        across = np.ascontiguousarray(tokens.T)
-        return np.stack([np.take(order, across).min(0) for order in self.orders[:BANDS]], 1)
+        return self._least(self.of_bands, tokens)
 
     def values(self, tokens: np.ndarray, band: int) -> np.ndarray:
         """The further MinHashes of a band, one row for each, as bytes: hardly any least rank is larger."""
-        first = BANDS + band * VALUES
-        across = np.ascontiguousarray(tokens.T)
-        return np.stack([np.take(order, across).min(0) for order in np.minimum(self.orders[first : first + VALUES], 255).astype(np.uint8)])
+        return self._least(self.of_values[band], tokens).T
 
     def bitmaps(self, tokens: np.ndarray) -> np.ndarray:
-        bits = np.zeros((len(tokens), -(-self.universe // 64) * 64), np.uint8)
-        np.put_along_axis(bits, tokens, 1, axis=1)
-        return np.packbits(bits, axis=1).view(np.uint64)
+        width = -(-self.universe // 64) * 64
+        bits = np.zeros(len(tokens) * width, np.uint8)
+        bits[tokens + np.arange(len(tokens))[:, None] * width] = 1
+        return np.packbits(bits.reshape(len(tokens), width), axis=1).view(np.uint64)
+
+    def bands_of(self, scale: np.ndarray, small: np.ndarray) -> np.ndarray:
+        """The MinHashes of 8-bit vectors, a few rows at a time."""
+        return np.concatenate([self.bands(self.tokens(small[i : i + ROWS] * scale[i : i + ROWS, None])) for i in range(0, len(small), ROWS)])
 
     def inner(self, rows: int) -> np.ndarray:
         """The values of each inner band, for a part of as many rows: the width grows with their logarithm."""
@@ -152,24 +174,29 @@ def _records(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.n
     """(keys, scales, 8-bit vectors) of the usable vectors, those that the task has not sent yet."""
     seen: set[int] = set()
     for b in batches:
-        _, x = usable(b.column(0), dim)
-        key = keys(x)
+        own = []
+        for i in range(0, b.num_rows, ROWS):
+            _, x = usable(b.column(0).slice(i, ROWS), dim)
+            key, x = keys(x), x.astype(np.float32)
+            scale = np.abs(x).max(1) / 127
+            own.append((key, scale, np.round(x / scale[:, None]).astype(np.int8)))
+        if not own:
+            continue
+        key, scale, small = (np.concatenate(a) for a in zip(*own))
         _, first = np.unique(key, return_index=True)
         first = first[[k not in seen for k in key[first].tolist()]]
         seen.update(key[first].tolist())
         if len(seen) > 1_000_000:  # forgetting only sends a vector again
             seen.clear()
         if len(first):
-            x = x[first].astype(np.float32)
-            scale = np.abs(x).max(1) / 127
-            yield key[first], scale, np.round(x / scale[:, None]).astype(np.int8)
+            yield key[first], scale[first], small[first]
 
 
 def _count(scheme: Scheme, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BANDS, scheme.universe), np.int64)
         for _, scale, small in _records(batches, dim):
-            bands = scheme.bands(scheme.tokens(small * scale[:, None]))
+            bands = scheme.bands_of(scale, small)
             for t in range(BANDS):
                 total[t] += np.bincount(bands[:, t], minlength=scheme.universe)
         band, value = np.nonzero(total)
@@ -191,7 +218,7 @@ def _emit(scheme: Scheme, layout: Layout, dim: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, scale, small in _records(batches, dim):
-            bands = scheme.bands(scheme.tokens(small * scale[:, None]))
+            bands = scheme.bands_of(scale, small)
             record, band, part = layout.parts_of(bands, key)
             order = np.argsort(part, kind="stable")
             edge = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
@@ -228,11 +255,12 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
         key, scale, small, value = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
         key, first = np.unique(key, return_index=True)
         scale, small, value = scale[first], small.reshape(-1, dim)[first], value[first]
-        steps = [slice(i, i + (1 << 16)) for i in range(0, len(key), 1 << 16)]
-        tokens = [scheme.tokens(small[i] * scale[i, None]) for i in steps]
-        sets = np.concatenate([scheme.bitmaps(t) for t in tokens])
-        values = np.concatenate([scheme.values(t, band) for t in tokens], 1)
-        del tokens
+        made = []
+        for i in range(0, len(key), ROWS):
+            tokens = scheme.tokens(small[i : i + ROWS] * scale[i : i + ROWS, None])
+            made.append((scheme.bitmaps(tokens), scheme.values(tokens, band)))
+        sets, values = np.concatenate([m[0] for m in made]), np.ascontiguousarray(np.concatenate([m[1] for m in made], 1))
+        del made
         # a coordinate is off by half a step at most, so a vector by half a step times the root of the width; both vectors count
         error = scale * np.float32(np.sqrt(dim) / 2 * 1.1)
 
@@ -244,14 +272,7 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
                 out[i : i + (1 << 17)] = common >= jaccard * (2 * scheme.size - common)
             return out
 
-        def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            out = np.empty(len(a), np.float32)
-            for i in range(0, len(a), 1 << 17):
-                x, y = a[i : i + (1 << 17)], b[i : i + (1 << 17)]
-                out[i : i + (1 << 17)] = np.einsum("ij,ij->i", small[x].astype(np.float32), small[y].astype(np.float32)) * scale[x] * scale[y]
-            return out
-
-        label = np.arange(len(key))
+        label = np.arange(len(key), dtype=np.int32)
         unsure: list[np.ndarray] = []
 
         def link(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
@@ -265,21 +286,68 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
             if linked.any():
                 nodes, index = np.unique(np.concatenate([label[a[linked]], label[b[linked]]]), return_inverse=True)
                 half = int(linked.sum())
-                to = np.arange(len(key))
+                to = np.arange(len(key), dtype=np.int32)
                 to[nodes] = nodes[components(len(nodes), index[:half], index[half:])]
                 label = to[label]
 
+        def join(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            a, b, c = (np.concatenate(f) for f in zip(*found))
+            alike = verified(a, b)
+            link(a[alike], b[alike], c[alike])
+
         low = np.float32(least - 2 * error.max(initial=0))
-        vectors = small * scale[:, None] if small.nbytes <= WIDENED else None
-        later = np.triu(np.ones((SIZES[-1], SIZES[-1]), bool), 1)
+        # the scale of a second record that asks for the least
+        easiest = scale.max() if low > 0 else scale.min()
+        pairs_of = {}
+        for m in range(2, PAIRED + 1):
+            second = np.concatenate([np.arange(d, m) for d in range(1, m)])
+            pairs_of[m] = second - np.repeat(np.arange(1, m), np.arange(m - 1, 0, -1)), second
+
+        def near(members: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(a, b, cosine) of the pairs of different clusters in groups (a row each, the first ``size`` of it) that may be links."""
+            groups, most = members.shape
+            x = np.take(small, members.ravel(), axis=0, mode="clip").astype(np.float32).reshape(groups, most, dim)
+            own = label[members]
+            # products of 8-bit vectors, first held against what any second record would ask for
+            enough = low / (scale[members] * easiest)
+            if most <= PAIRED:  # no padding: each such size is a class
+                first, second = pairs_of[most]
+                c = np.empty((groups, len(first)), np.float32)
+                for d, i in zip(range(1, most), np.cumsum([0, *range(most - 1, 1, -1)]).tolist()):
+                    np.vecdot(x[:, :-d], x[:, d:], out=c[:, i : i + most - d])
+                hit = np.flatnonzero((c >= np.take(enough, first, axis=1)) & (np.take(own, first, axis=1) != np.take(own, second, axis=1)))
+                g = hit // len(first)
+                pair = hit - g * len(first)
+                a, b = members[g, first[pair]], members[g, second[pair]]
+            else:
+                c = np.matmul(x, x.transpose(0, 2, 1))
+                alike = c >= enough[:, :, None]
+                alike &= own[:, :, None] != own[:, None, :]
+                hit = np.flatnonzero(alike)
+                line = hit // most
+                g = line // most
+                row, column = line - g * most, hit - line * most
+                real = (row < column) & (column < size[g])
+                hit, g = hit[real], g[real]
+                a, b = members[g, row[real]], members[g, column[real]]
+            c = c.ravel()[hit] * scale[a] * scale[b]
+            real = c >= low
+            return a[real], b[real], c[real]
+
         bits = np.uint64(int(len(key)).bit_length())
         place = np.arange(len(key), dtype=np.uint64)
         for t, columns in enumerate(scheme.inner(len(key))):
             mixed = value.astype(np.uint64)
             for column in columns:
-                mixed = mixed << np.uint64(8) | values[column]
-            # hashed and sorted together with the places, which is quicker than sorting places; equal hashes of different bands only add candidates
-            mixed = np.sort((mixed * _MIX >> bits) << bits | place)
+                mixed <<= np.uint64(8)
+                mixed |= values[column]
+            # sorted together with the places, which is quicker than sorting places; hashed where they don't fit beside them: equal hashes of different bands only add candidates
+            if 16 + 8 * len(columns) + int(bits) > 64:
+                mixed *= _MIX
+                mixed >>= bits
+            mixed <<= bits
+            mixed |= place
+            mixed.sort()
             at = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
             mixed >>= bits
             begin = np.flatnonzero(np.append(True, mixed[1:] != mixed[:-1])) if len(mixed) else np.zeros(0, np.int64)
@@ -293,33 +361,32 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
             groups = np.flatnonzero(open_)
             groups = groups[np.argsort(np.minimum(size[groups], SIZES[-1] + 1).astype(np.uint16), kind="stable")]
             edges = np.searchsorted(size[groups], SIZES, "right").tolist()
+            waiting, count = [], 0
             for k, most in enumerate(SIZES[1:]):
                 own = groups[edges[k] : edges[k + 1]]
-                step = max(1, (1 << 23) // (most * (dim + most)))
+                step = max(1, FLOATS // (most * (dim + most)))
                 for i in range(0, len(own), step):
                     part = own[i : i + step]
-                    inside = np.arange(most) < size[part, None]
-                    members = at[np.where(inside, begin[part, None] + np.arange(most), begin[part, None])]
-                    x = vectors[members] if vectors is not None else small[members] * scale[members][:, :, None]
-                    c = np.matmul(x, x.transpose(0, 2, 1))
-                    near = c >= low
-                    near &= later[:most, :most]
-                    hit = np.flatnonzero(near)
-                    row, column = hit // most, hit % most
-                    g = row // most
-                    a, b = members.ravel()[row], members[g, column]
-                    real = inside[g, column] & (label[a] != label[b])
-                    a, b, found = a[real], b[real], c.ravel()[hit[real]]
-                    alike = verified(a, b)
-                    link(a[alike], b[alike], found[alike])
+                    # a group's last record fills its row up
+                    rows = begin[part, None] + np.arange(most)
+                    np.minimum(rows, (begin[part] + size[part] - 1)[:, None], out=rows)
+                    waiting.append(near(at[rows], size[part]))
+                    count += len(waiting[-1][0])
+                    if count >= WAITING:
+                        join(waiting)
+                        waiting, count = [], 0
+            if count:
+                join(waiting)
             wide = groups[edges[-1] :]
             large = [at[i : i + m] for i, m in zip(begin[wide].tolist(), size[wide].tolist())]
             for members in large:
                 # the first by a hash that differs with the inner band
                 leader = members[((key[members].view(np.uint64) * _MIX) ^ np.uint64((t + 1) * 0x51ED270B)).argmin()]
                 b = members[label[members] != label[leader]]
-                b = b[verified(np.full(len(b), leader), b)]
-                link(np.full(len(b), leader), b, cosines(np.full(len(b), leader), b))
+                c = np.concatenate([small[b[i : i + BLOCK]].astype(np.float32) @ small[leader].astype(np.float32) for i in range(0, len(b), BLOCK)] or [np.zeros(0, np.float32)])
+                c *= scale[b] * scale[leader]
+                b, c = b[c >= low], c[c >= low]
+                join([(np.full(len(b), leader), b, c)])
                 # then the records outside the largest cluster with all of the group
                 _, own, sizes = np.unique(label[members], return_inverse=True, return_counts=True)
                 outside = members[own != sizes.argmax()]
@@ -327,14 +394,15 @@ def _meet(scheme: Scheme, dim: int, least: float, jaccard: float):
                     continue
                 for i in range(0, len(members), BLOCK):
                     y = members[i : i + BLOCK]
-                    others = small[y].astype(np.float32).T * scale[y]
-                    for j in range(0, len(outside), BLOCK):
-                        x = outside[j : j + BLOCK]
-                        c = (small[x].astype(np.float32) * scale[x, None]) @ others
-                        at_x, at_y = np.nonzero((c >= least - error[x, None] - error[y]) & (label[x, None] != label[y]))
-                        alike = verified(x[at_x], y[at_y])
-                        at_x, at_y = at_x[alike], at_y[alike]
-                        link(x[at_x], y[at_y], c[at_x, at_y])
+                    others = small[y].astype(np.float32) * scale[y, None]
+                    for j in range(0, len(outside), BLOCK // 4):
+                        x = outside[j : j + BLOCK // 4]
+                        c = (small[x].astype(np.float32) * scale[x, None]) @ others.T
+                        alike = c >= low
+                        alike &= label[x, None] != label[y]
+                        hit = np.flatnonzero(alike)
+                        if len(hit):
+                            join([(x[hit // len(y)], y[hit % len(y)], c.ravel()[hit])])
         pair = np.unique(np.concatenate(unsure)) if unsure else np.zeros(0, np.uint64)
         a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         apart = label[a] != label[b]
